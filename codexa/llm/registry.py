@@ -28,3 +28,17 @@ def op1_mix_sources(spark, d):
 @query(SHARD_SQL)
 def op2_extendible_shards(spark, d):
     return shard(table(spark, d, "documents"))
+
+
+@query()
+def op3_quality_classifier(spark, d):
+    from codexa.llm.quality import classify
+
+    return classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query()
+def op9_toxicity(spark, d):
+    from codexa.llm.toxicity import classify
+
+    return classify(table(spark, d, "documents"), table(spark, d, "labels"))
