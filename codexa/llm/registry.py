@@ -42,3 +42,25 @@ def op9_toxicity(spark, d):
     from codexa.llm.toxicity import classify
 
     return classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query()
+def op8_best_two_fit(spark, d):
+    from codexa.llm.packing import pack
+
+    return pack(table(spark, d, "documents"))
+
+
+def _topk_sql() -> str:
+    from codexa.llm.topk import TOPK_SQL
+
+    return TOPK_SQL
+
+
+@query(_topk_sql())
+def op4_exact_topk(spark, d):
+    from pyspark.sql import functions as F
+
+    from codexa.llm.topk import topk
+
+    return topk(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
