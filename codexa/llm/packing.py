@@ -38,7 +38,7 @@ class Encoder:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list({w for words in split for w in words} - self.known.keys())
+        new = [w for w in {w for words in split for w in words} if w not in self.known]
         for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, words)) for words in split]

@@ -115,7 +115,7 @@ class Scorer:
     def learn(self, texts: list[list[str]]) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list({w for words in texts for w in words} - self.known.keys())
+        new = [w for w in {w for words in texts for w in words} if w not in self.known]
         if new:
             ids, owner = features(new)
             total = np.bincount(owner, weights=self.weights[ids], minlength=len(new))

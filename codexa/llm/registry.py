@@ -64,3 +64,10 @@ def op4_exact_topk(spark, d):
     from codexa.llm.topk import topk
 
     return topk(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query()
+def op5_ngram_jaccard(spark, d):
+    from codexa.llm.jaccard import join
+
+    return join(table(spark, d, "documents"), n=3, threshold=90)

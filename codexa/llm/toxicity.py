@@ -218,7 +218,7 @@ class Tagger:
         if len(self.known) > CACHE_WORDS:
             self.clear()
         get = self.model["weights"].get
-        for w in words - self.known.keys():
+        for w in [w for w in words if w not in self.known]:
             c = folded(w) or "."
             if self.used == len(self.values):
                 self.values = np.concatenate([self.values, np.zeros_like(self.values)])
