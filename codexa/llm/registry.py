@@ -71,3 +71,24 @@ def op5_ngram_jaccard(spark, d):
     from codexa.llm.jaccard import join
 
     return join(table(spark, d, "documents"), n=3, threshold=90)
+
+
+@query()
+def op6_quality_rules(spark, d):
+    from codexa.llm.rules import judge
+
+    return judge(table(spark, d, "documents"))
+
+
+@query()
+def op7_url_filters(spark, d):
+    from codexa.llm.urls import judge
+
+    return judge(table(spark, d, "pages"))
+
+
+@query()
+def op10_license_scan(spark, d):
+    from codexa.llm.licenses import scan
+
+    return scan(table(spark, d, "documents"))
