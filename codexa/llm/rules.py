@@ -11,8 +11,8 @@ from codexa.llm.common import n_words, written
 FLOORS = {"x0": 0.10, "x1": 0.15, "x2": 0.10, "x3": 0.15}
 #: Share of a group that the determinant is minimised over, refinement steps, least rows of a group of its own.
 SHARE, STEPS, LEAST = 0.75, 3, 60
-#: Quantiles of the chi-square distribution with four degrees of freedom: its median, and what one in a thousand exceeds.
-MEDIAN, CUTOFF = 3.3567, 18.467
+#: Quantiles of the chi-square distribution with four degrees of freedom: its median, and what one in ten thousand exceeds.
+MEDIAN, CUTOFF = 3.3567, 23.513
 XS = list(FLOORS)
 
 
