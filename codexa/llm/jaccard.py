@@ -18,7 +18,7 @@ N, THRESHOLD = 5, 80
 #: N-grams in at least COMMON different texts rank alike, behind all rarer ones.
 COMMON = 64
 #: N-grams that a worker gathers before it deals them out, and about as many go to one reducing group.
-BUFFER, GROUP = 2_000_000, 2_000_000
+BUFFER, GROUP = 1_000_000, 1_000_000
 BITS = 44
 
 
@@ -41,7 +41,7 @@ class Grams:
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 300_000:
             known.clear()
         try:
             h = np.array([known[w] for w in words], dtype=np.uint64)
@@ -166,7 +166,7 @@ def _deal(docs: DataFrame, n: int, groups: int, owners: int) -> DataFrame:
                 name = named(signature(g))
                 if name in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 seen.add(name)
                 sets.append(g)
@@ -199,9 +199,10 @@ def ordered_texts(docs: DataFrame, n: int, t: int, total: int, distinct: int) ->
     first in that order and match nothing, so only their number counts; a text with a prefix of nothing else is dropped.
     """
     groups, owners = max(1, -(-total // GROUP)), max(1, -(-total // GROUP))
-    dealt = written(_deal(docs, n, groups, owners), "dealt")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["kind"].iloc[0] == 1:  # on to their owner as they are
+            return pdf
         hs, names = [], []
         for row in pdf.itertuples():
             h, ref = _unpack(row)
@@ -231,11 +232,10 @@ def ordered_texts(docs: DataFrame, n: int, t: int, total: int, distinct: int) ->
         rows = []
         for a, b in zip(cut, [*cut[1:], len(owner)], strict=True):
             u, each = np.unique(sig[a:b], return_counts=True)
-            rows.append((int(owner[a]), flat_h[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), df[a:b].tobytes(), u.tobytes(), each.astype(np.int32).tobytes()))
-        return pd.DataFrame(rows, columns=["key", "h", "ref", "sigs", "sizes"])
+            rows.append((2, int(owner[a]), flat_h[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), df[a:b].tobytes(), u.tobytes(), each.astype(np.int32).tobytes()))
+        return pd.DataFrame(rows, columns=pdf.columns)
 
-    shared = dealt.where("kind = 0").groupBy("key").applyInPandas(count, "key long, h binary, ref binary, sigs binary, sizes binary")
-    back = shared.withColumn("kind", F.lit(2)).unionByName(dealt.where("kind = 1"))
+    back = _deal(docs, n, groups, owners).groupBy("kind", "key").applyInPandas(count, "kind int, key long, h binary, ref binary, sigs binary, sizes binary")
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         size_of: dict[int, int] = {}
