@@ -11,12 +11,11 @@ from codexa.llm.common import lower_ascii
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: (label, keyword, name as a pattern over words joined by blanks, address or None); versions stand as words: 2 0.
 NAMES = [
     ("mit", "mit", r"mit(?: x11)?", "opensource org licenses mit"),
-    ("mit-0", "mit", r"mit (?:0|no attribution)", "opensource org licenses mit 0"),
+    ("mit-0", "mit 0", r"mit 0", "opensource org licenses mit 0"),
     ("isc", "isc", r"(?:isc|internet systems consortium)", "opensource org licenses isc"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "opensource org licenses bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "opensource org licenses bsd 3 clause"),
@@ -91,8 +90,8 @@ NOTICES = [
     ("proprietary", "permission", r"(?:may not|no part (?:of this [a-z]+ )?may) be (?:reproduced|copied|redistributed|distributed)(?: [a-z]+){0,8} without (?:the )?(?:prior |express |written )*permission", 75),
     ("reserved", "rights", r"all rights reserved", 50),
     ("some-rights", "rights", r"some rights reserved", 50),
-    ("no-warranty", "warrant", r"without (?:any )?warranty(?: of any kind)?", 30),
-    ("no-warranty", "as is", r"provided as is", 30),
+    ("no-warranty", "warranty", r"without (?:any )?warranty(?: of any kind)?", 30),
+    ("no-warranty", "provided as", r"provided as is", 30),
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", 90),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 90),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification", 90),
@@ -100,14 +99,16 @@ NOTICES = [
     ("wtfpl", "what the", r"do what the fuck you want to", 90),
     ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain", 95),
 ]
+#: Words that begin a grant.
+VERBS = ["licensed", "released", "distributed", "available", "published", "provided", "covered", "governed", "shared", "redistribute", "redistributed"]
 LEVELS = (90, 80, 70, 60, 50, 0)
 
 
 def rules() -> list[dict]:
     """All rules: for each name its SPDX tag, grant, address, and plain mention, and the notices."""
     out: list[dict] = []
-    add = lambda label, kw, pattern, priority: out.append({"kw": kw, "pattern": f"(?<![^ ]){pattern}(?![^ ])", "label": label, "priority": priority})
-    grant = r"(?:licensed|released|distributed|available|published|provided|covered|governed|shared|redistribute(?:d)?)(?: [a-z]+){0,3}? (?:under|by|with)(?: an?| the)?(?: terms(?: and conditions)? of(?: the)?)? "
+    add = lambda label, kw, pattern, priority, grants=False: out.append({"kw": kw, "grants": grants, "pattern": f"(?<![^ ]){pattern}(?![^ ])", "label": label, "priority": priority})
+    grant = rf"(?:{'|'.join(VERBS)})" r"(?: [a-z]+){0,3}? (?:under|by|with)(?: an?| the)?(?: terms(?: and conditions)? of(?: the)?)? "
     names = list(NAMES)
     for label, short, long_, _ in CC:
         for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
@@ -118,9 +119,9 @@ def rules() -> list[dict]:
     for label, kw, name, url in names:
         tag = label.replace("-", " ").replace(".", " ")
         add(label, "spdx", rf"spdx license identifier {tag}(?: only| or later)?", 95)
-        add(label, kw, rf"{grant}{name}(?: licen[cs]e)?", 85)
+        add(label, kw, rf"{grant}{name}(?: licen[cs]e)?", 85, True)
         plain = name if "licen" in name or name.startswith(("cc ", "creative", "same terms", "cc0", "(?:the )?unlicense", "wtfpl")) else rf"{name} licen[cs]e"
-        add(label, kw, plain, 65)
+        add(label, "mit licen" if kw == "mit" and plain.endswith("licen[cs]e") and name.startswith("mit(?: x11)") else kw, plain, 65)
         if url:
             add(label, url.split(" ")[0], url, 75)
     for label, kw, pattern, priority in NOTICES:
@@ -139,15 +140,15 @@ def starts(text: Column, pattern: Column, hits: Column) -> Column:
     return sums.xs
 
 
-def detections(norm: Column) -> Column:
-    """ARRAY<STRUCT<start, stop, priority, label>> of all rules whose keyword the text holds, in text order, longest first."""
-    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<kw:string,pattern:string,label:string,priority:int,id:int>>")
+def detections(norm: Column, present: Column) -> Column:
+    """ARRAY<STRUCT<start, stop, priority, label>> of all rules whose keyword is ``present``, in text order, longest first."""
+    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<kw:string,grants:boolean,pattern:string,label:string,priority:int,id:int>>")
 
     def found(r: Column) -> Column:
         hits = F.regexp_extract_all(norm, r.pattern, F.lit(0))
         return F.transform(F.arrays_zip(starts(norm, r.pattern, hits).alias("s"), hits.alias("h")), lambda x: F.struct(x.s.alias("start"), (-(x.s + F.length(x.h))).alias("minus_stop"), (-r.priority).alias("minus_priority"), r.label.alias("label")))
 
-    return F.sort_array(F.flatten(F.transform(F.filter(table, lambda r: F.contains(norm, r.kw)), found)))
+    return F.sort_array(F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(present.keywords, r.kw) & (~r.grants | present.grant)), found)))
 
 
 def surviving(found: Column) -> Column:
@@ -175,25 +176,31 @@ def surviving(found: Column) -> Column:
 def scan(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found).
 
-    Texts without any keyword are passed over by one expression. The others are brought to words joined by blanks, in
-    which base phrases and rules are searched; all happens within the row, so nothing is shuffled. ``found`` holds
+    Texts are brought to words joined by blanks, in which base phrases are searched, then keywords, and then the rules
+    whose keyword is there; all happens within the row, so nothing is shuffled. ``found`` holds
     the surviving detections with their places in the joined text. score: 0 without labels, else the highest priority
     found, a base phrase counting 60, over 100.
 
     Null and empty texts: 0 words, no labels (''). Repeated rows are scanned each; empty table: no rows. Other columns
     are not read.
     """
-    low = lower_ascii(F.col("text"))
-    keywords = sorted({r["kw"].split(" ")[0] for r in rules()} | {p.split(" ")[0] for p in BASE})
-    gate = F.col("low").rlike("|".join(keywords))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), low.alias("low"))
-    rows = rows.select("doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, F.btrim(F.regexp_replace("low", GAP, " "))).otherwise("").alias("norm"))
+    keywords = sorted({r["kw"] for r in rules()})
+    rows = docs.select(F.col(doc_id).alias("doc_id"), lower_ascii(F.col("text")).alias("low"))
+    rows = rows.select("doc_id", F.btrim(F.regexp_replace("low", GAP, " ")).alias("norm"))
+    firsts = sorted({k.split(" ")[0] for k in keywords} | set(VERBS))
+    words = F.when(F.col("norm") != "", F.split("norm", " ")).otherwise(F.array().cast("array<string>"))
+    seen = F.transform(F.array(words), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.array_intersect(w, F.array(*[F.lit(k) for k in firsts])).alias("firsts")))
+    rows = rows.withColumn("seen", F.get(seen, F.lit(0)))
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k.split(" ")[0]).alias("first")) for k in keywords])
+    held = F.filter(known, lambda x: F.array_contains("seen.firsts", x.first) & (F.col("norm").startswith(x.k) | F.contains("norm", F.concat(F.lit(" "), x.k))))
+    held = F.when(F.size("seen.firsts") > 0, F.transform(held, lambda x: x.k)).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("doc_id", F.col("seen.n").alias("n_words"), "norm", F.struct(held.alias("keywords"), F.arrays_overlap("seen.firsts", F.array(*[F.lit(v) for v in VERBS])).alias("grant")).alias("present"))
     spots = {}
     for phrase in BASE:
         pattern = F.lit(f"(?<![^ ]){phrase}(?![^ ])")
         spots[phrase] = F.when(F.contains("norm", F.lit(phrase)), starts(F.col("norm"), pattern, F.regexp_extract_all("norm", pattern, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     base = F.array(*[F.struct(s.alias("at"), F.lit(BASE[p]).alias("label")) for p, s in spots.items()])
-    rows = rows.withColumns({"base": base, "found": F.when(F.col("norm") != "", surviving(detections(F.col("norm"))))})
+    rows = rows.withColumns({"base": base, "found": F.when(F.size("present.keywords") > 0, surviving(detections(F.col("norm"), F.col("present"))))})
     rows = rows.withColumns({"at": F.flatten("base.at"), "base_set": F.array_sort(F.transform(F.filter("base", lambda b: F.size(b.at) > 0), lambda b: b.label))})
     word = lambda at: F.when(F.size("at") > 0, F.length(F.left("norm", at)) - F.length(F.replace(F.left("norm", at), F.lit(" "), F.lit("")))).cast("long")
     own = F.coalesce(F.transform("found", lambda x: x.label), F.array().cast("array<string>"))
