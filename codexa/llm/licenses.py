@@ -191,10 +191,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     words = F.when(F.col("norm") != "", F.split("norm", " ")).otherwise(F.array().cast("array<string>"))
     seen = F.transform(F.array(words), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.array_intersect(w, F.array(*[F.lit(k) for k in firsts])).alias("firsts")))
     rows = rows.withColumn("seen", F.get(seen, F.lit(0)))
-    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k.split(" ")[0]).alias("first")) for k in keywords])
-    held = F.filter(known, lambda x: F.array_contains("seen.firsts", x.first) & (F.col("norm").startswith(x.k) | F.contains("norm", F.concat(F.lit(" "), x.k))))
+    plain = {r["kw"] for r in rules() if not r["grants"]}
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k.split(" ")[0]).alias("first"), F.lit(k in plain).alias("plain")) for k in keywords])
+    grant = F.arrays_overlap("seen.firsts", F.array(*[F.lit(v) for v in VERBS]))
+    held = F.filter(known, lambda x: F.array_contains("seen.firsts", x.first) & (x.plain | grant) & (F.col("norm").startswith(x.k) | F.contains("norm", F.concat(F.lit(" "), x.k))))
     held = F.when(F.size("seen.firsts") > 0, F.transform(held, lambda x: x.k)).otherwise(F.array().cast("array<string>"))
-    rows = rows.select("doc_id", F.col("seen.n").alias("n_words"), "norm", F.struct(held.alias("keywords"), F.arrays_overlap("seen.firsts", F.array(*[F.lit(v) for v in VERBS])).alias("grant")).alias("present"))
+    rows = rows.select("doc_id", F.col("seen.n").alias("n_words"), "norm", F.struct(held.alias("keywords"), grant.alias("grant")).alias("present"))
     spots = {}
     for phrase in BASE:
         pattern = F.lit(f"(?<![^ ]){phrase}(?![^ ])")
