@@ -87,7 +87,7 @@ def hamming_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
 
 
 def texts(docs: DataFrame, doc_id: str, n: int) -> DataFrame:
-    """(doc_id, n_shingles, sig, name): sig and name are null for a text without words."""
+    """(doc_id, n_shingles, sig, name): sig is null, and name 0, for a text without words."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,8 +95,7 @@ def texts(docs: DataFrame, doc_id: str, n: int) -> DataFrame:
         for b in batches:
             found = [grams(t) for t in b["text"].fillna("")]
             out = pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(g) for g in found], "sig": [signature(g) if len(g) else None for g in found]})
-            out["name"] = [None if x is None else named(x) for x in out["sig"]]
-            out["name"] = out["name"].astype("Int64")
+            out["name"] = np.array([0 if x is None else named(x) for x in out["sig"]], dtype=np.int64)
             yield out.astype({"doc_id": "Int64"}) if str(out["doc_id"].dtype).startswith("float") else out
 
     bounded_batches(docs.sparkSession)
