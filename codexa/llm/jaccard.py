@@ -20,6 +20,8 @@ COMMON = 64
 #: N-grams that a worker gathers before it deals them out, and about as many go to one reducing group.
 BUFFER, GROUP = 1_000_000, 1_000_000
 BITS = 44
+#: Columns of a text's bitmap, 64 bits each.
+MAP = [f"m{i}" for i in range(4)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,6 +88,12 @@ def hamming_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
     return hamming_bound(x[:i], y[:j], depth - 1) + hamming_bound(x[i + same :], y[j + 1 :], depth - 1) + (not same)
 
 
+def bitmap(grams: np.ndarray) -> list[int]:
+    """Each bit tells whether an odd number of n-grams falls on it: where two bitmaps differ in k bits, the sets differ in k n-grams at least."""
+    bits = np.bincount((_mix(grams.astype(np.uint64)) & np.uint64(64 * len(MAP) - 1)).astype(np.int64), minlength=64 * len(MAP)) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
 def texts(docs: DataFrame, doc_id: str, n: int) -> DataFrame:
     """(doc_id, n_shingles, sig, name): sig is null, and name 0, for a text without words."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -276,20 +284,25 @@ def ordered_texts(docs: DataFrame, n: int, t: int, total: int, distinct: int) ->
 
 
 def _prefixes(rows: DataFrame, t: int) -> DataFrame:
-    """(gram, name, size, pos, index): the prefix n-grams with their place; ``index``: in the shorter prefix for equal or longer partners."""
+    """(gram, name, size, pos, index, own, bitmap): the prefix n-grams with their place; ``index``: in the shorter prefix for equal or longer partners.
+
+    ``own`` is the number of n-grams of this text alone; the bitmap tells of the others.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for name, size, unique, blob in zip(b["name"], b["size"], b["unique"], b["grams"], strict=True):
                 long_, short = size - needed(size, t) + 1, size - overlap(size, size, t) + 1
-                g = np.frombuffer(blob, dtype="<i8")[: max(0, long_ - unique)]
+                every = np.frombuffer(blob, dtype="<i8")
+                g = every[: max(0, long_ - unique)]
                 pos = unique + np.arange(len(g))
-                out.append(pd.DataFrame({"gram": g, "name": name, "size": size, "pos": pos, "index": pos < short}))
+                out.append(pd.DataFrame({"gram": g, "name": name, "size": size, "pos": pos, "index": pos < short, "own": unique} | dict(zip(MAP, bitmap(every), strict=True))))
             if out:
-                yield pd.concat(out).astype({"gram": "int64", "name": "int64", "size": "int64", "pos": "int64", "index": "bool"})
+                yield pd.concat(out).astype({c: "int64" for c in ["gram", "name", "size", "pos", "own", *MAP]} | {"index": "bool"})
 
-    return rows.select("name", "size", "unique", "grams").mapInPandas(run, "gram long, name long, size long, pos long, index boolean")
+    schema = "gram long, name long, size long, pos long, index boolean, own long, " + ", ".join(f"{m} long" for m in MAP)
+    return rows.select("name", "size", "unique", "grams").mapInPandas(run, schema)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, t: int) -> DataFrame:
@@ -337,26 +350,31 @@ def links(rows: DataFrame, t: int) -> DataFrame:
 
     First each prefix n-gram's shortest text meets the others that share it: within a group of near copies this
     links most at a cost in proportion to the group. Then all pairs that share a prefix n-gram meet, but for those
-    that are connected already. Length and positional filters stand in the join.
+    that are connected already. Length and positional filters stand in the join, and so does a bound of the sets'
+    difference by bitmaps: it looks at whole sets, where the suffix filter after the join looks more closely.
     """
 
+    facts = ["size", "name", "pos", "own", *MAP]
     pre = written(_prefixes(rows, t), "prefixes")
-    counts = pre.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.when(F.col("index"), F.struct("size", "name", "pos"))).alias("lead")).where("n > 1 and lead is not null")
+    counts = pre.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.when(F.col("index"), F.struct(*facts))).alias("lead")).where("n > 1 and lead is not null")
     counts = written(counts, "leads")
-    enough = lambda a, pa, b, pb: (F.col(a) * 100 >= F.col(b) * t) & (1 + F.least(F.col(a) - F.col(pa) - 1, F.col(b) - F.col(pb) - 1) >= F.ceil((F.col(a) + F.col(b)) * t / (100 + t) - 1e-6))
-    star = pre.join(counts.select("gram", F.col("lead.name").alias("a"), F.col("lead.size").alias("sa"), F.col("lead.pos").alias("pa")), "gram")
-    star = star.where((F.col("name") != F.col("a")) & enough("sa", "pa", "size", "pos")).select("a", F.col("name").alias("b")).distinct()
-    near = written(_verified(star, rows, t), "star")
+    a_facts = [F.col(c).alias("a_" + c) for c in facts]
+    both = F.col("a_size") + F.col("size")
+    least = F.ceil(both * t / (100 + t) - 1e-6)
+    differ = sum((F.bit_count(F.col("a_" + m).bitwiseXOR(F.col(m))) for m in MAP), F.col("a_own") + F.col("own"))
+    enough = (F.col("a_size") * 100 >= F.col("size") * t) & (1 + F.least(F.col("a_size") - F.col("a_pos") - 1, F.col("size") - F.col("pos") - 1) >= least) & (differ <= both - 2 * least)
+    found = lambda pairs: pairs.select(F.col("a_name").alias("a"), F.col("name").alias("b")).distinct()
+    star = pre.join(counts.select("gram", *[F.col("lead." + c).alias("a_" + c) for c in facts]), "gram")
+    near = written(_verified(found(star.where((F.col("name") != F.col("a_name")) & enough)), rows, t), "star")
     root = components(near)
     live = pre.join(counts.where("n > 2").select("gram"), "gram", "left_semi").join(root, "name", "left").withColumn("root", F.coalesce("root", "name"))
     live = written(live, "live")
     # n-grams whose texts are all connected have nothing left to join
     open_ = live.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
     live = live.join(open_, "gram", "left_semi")
-    one = live.where("index").select("gram", F.col("name").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    two = live.select("gram", F.col("name").alias("b"), "size", "pos", "root")
-    shorter = (F.col("sa") < F.col("size")) | ((F.col("sa") == F.col("size")) & (F.col("a") < F.col("b")))
-    rest = one.join(two, "gram").where((F.col("ra") != F.col("root")) & shorter & enough("sa", "pa", "size", "pos")).select("a", "b").distinct()
+    one = live.where("index").select("gram", *a_facts, F.col("root").alias("a_root"))
+    shorter = (F.col("a_size") < F.col("size")) | ((F.col("a_size") == F.col("size")) & (F.col("a_name") < F.col("name")))
+    rest = found(one.join(live, "gram").where((F.col("a_root") != F.col("root")) & shorter & enough))
     return near.unionByName(written(_verified(rest, rows, t), "rest"))
 
 
