@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,16 @@ from codexa.llm.learning import bounded_batches
 
 LENGTH, END = 4096, 1
 CACHE_WORDS = 300_000
+#: Letters beyond ASCII that stand as they are in NFC and have one lower case, a letter of the same kind (no İ).
+LETTERS = "À-ÖØ-öø-įı-ſА-яЁё"
+#: Words that are put together from atoms, and how the tokenizer splits them once lower-cased (its own pattern, fixed).
+PLAIN = re.compile(rf"[!-~{LETTERS}]*")
+ATOM = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^a-z0-9{LETTERS}]+")
+
+#: The pattern, as a tokenizer that splits so states it; others get whole words.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Byte-level models name bytes by characters: those that print by themselves, others by characters from 256 on (the alphabet of such models, fixed).
+BYTES = {b: b + 162 for b in range(127, 161)} | {173: 323}
 
 
 def default_tokenizer() -> str:
@@ -25,23 +37,58 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Atoms(dict):
+    """Ids of the atoms of PLAIN words, as little-endian bytes, found by the tokenizer's model alone when first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model = tokenizer.model
+
+    def __missing__(self, atom: str) -> bytes:
+        found = self.model.tokenize(atom if atom.isascii() else atom.encode().decode("latin-1").translate(BYTES))
+        ids = pack_ids(f"<{len(found)}I", *[t.id for t in found])
+        if len(atom) <= 32:
+            self[atom] = ids
+        return ids
+
+
+class Words(dict):
+    """Ids of what stands between blanks. PLAIN ones are put together from their atoms, all others go to the tokenizer."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.atoms, self.tokenizer = Atoms(tokenizer), tokenizer
+        self.split = SPLIT in str(tokenizer.pre_tokenizer).replace("\\\\", "\\") and "Lowercase" in str(tokenizer.normalizer)
+
+    def __missing__(self, word: str) -> bytes:
+        if self.split and PLAIN.fullmatch(word):
+            ids = b"".join(map(self.atoms.__getitem__, ATOM.findall(word.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Token ids of a text as little-endian bytes. The tokenizer never joins what a blank, tab or line end separates, so known words are looked up."""
+    """Token ids of a text as little-endian bytes.
+
+    The tokenizer never joins what a blank, tab or line end separates, and lower-cases and splits
+    PLAIN words as ATOM does, so ids are looked up by word and atom.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.known = Words(Tokenizer.from_file(path))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in {w for words in split for w in words} if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        if len(known.atoms) > CACHE_WORDS:
+            known.atoms.clear()
+        return [b"".join(map(known.__getitem__, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", path: str | None = None, length: int = LENGTH, end: int = END, keep_ids: bool = False) -> DataFrame:
