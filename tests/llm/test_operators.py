@@ -145,6 +145,21 @@ def test_packing(docs, none):
     assert packing.best_two_fit({10: 1, 6: 1, 5: 1, 4: 1}, 19)[0] == (1, [(10, 1), (5, 1), (4, 1)])
 
 
+def test_ids_are_the_tokenizers():
+    encode = packing.Encoder(packing.default_tokenizer())
+    for text in ["It's I'LL don't 'tis A1b2 x'sy", "Été, straße ŒUVRE! ñ3 Ёлка's", "J\u030c I\u0307 \u0130x ΟΔΟΣ 中文\r\x0bx\u00a0y", "a\tb\n\nc", "\x1c%%%…''", ""]:
+        assert encode([text])[0] == np.array(encode.known.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (1, 20, 400):
+        a, b = (rng.integers(0, 600, size) for _ in "ab")
+        a, b = np.unique(a), np.unique(b)
+        differ = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(jaccard.bitmap(a), jaccard.bitmap(b), strict=True))
+        assert differ <= len(np.setxor1d(a, b)) and jaccard.bitmap(a) == jaccard.bitmap(a[::-1])
+
+
 def test_licenses(docs, none):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     r = got[8]
