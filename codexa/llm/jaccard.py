@@ -20,6 +20,8 @@ COMMON = 64
 #: N-grams that a worker gathers before it deals them out, and about as many go to one reducing group.
 BUFFER, GROUP = 1_000_000, 1_000_000
 BITS = 44
+#: Rounds in which each n-gram whose texts are not all connected links them by one of them, before all its pairs meet.
+STARS = 2
 #: Columns of a text's bitmap, 64 bits each.
 MAP = [f"m{i}" for i in range(4)]
 
@@ -349,8 +351,9 @@ def links(rows: DataFrame, t: int) -> DataFrame:
     """(a, b): similar pairs of different texts, enough of them to connect all that are connected.
 
     First each prefix n-gram's shortest text meets the others that share it: within a group of near copies this
-    links most at a cost in proportion to the group. Then all pairs that share a prefix n-gram meet, but for those
-    that are connected already. Length and positional filters stand in the join, and so does a bound of the sets'
+    links most at a cost in proportion to the group. The shortest may be an outlier: STARS rounds more let each n-gram
+    that is still open link its texts by one drawn by hash. Then all pairs that share a prefix n-gram meet, but for
+    those that are connected already. Length and positional filters stand in the join, and so does a bound of the sets'
     difference by bitmaps: it looks at whole sets, where the suffix filter after the join looks more closely.
     """
 
@@ -362,16 +365,24 @@ def links(rows: DataFrame, t: int) -> DataFrame:
     both = F.col("a_size") + F.col("size")
     least = F.ceil(both * t / (100 + t) - 1e-6)
     differ = sum((F.bit_count(F.col("a_" + m).bitwiseXOR(F.col(m))) for m in MAP), F.col("a_own") + F.col("own"))
-    enough = (F.col("a_size") * 100 >= F.col("size") * t) & (1 + F.least(F.col("a_size") - F.col("a_pos") - 1, F.col("size") - F.col("pos") - 1) >= least) & (differ <= both - 2 * least)
-    found = lambda pairs: pairs.select(F.col("a_name").alias("a"), F.col("name").alias("b")).distinct()
+    enough = (F.least("a_size", "size") * 100 >= F.greatest("a_size", "size") * t) & (1 + F.least(F.col("a_size") - F.col("a_pos") - 1, F.col("size") - F.col("pos") - 1) >= least) & (differ <= both - 2 * least)
+    found = lambda pairs: pairs.select(F.least("a_name", "name").alias("a"), F.greatest("a_name", "name").alias("b")).distinct()
     star = pre.join(counts.select("gram", *[F.col("lead." + c).alias("a_" + c) for c in facts]), "gram")
     near = written(_verified(found(star.where((F.col("name") != F.col("a_name")) & enough)), rows, t), "star")
-    root = components(near)
-    live = pre.join(counts.where("n > 2").select("gram"), "gram", "left_semi").join(root, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    live = written(live, "live")
-    # n-grams whose texts are all connected have nothing left to join
-    open_ = live.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
-    live = live.join(open_, "gram", "left_semi")
+
+    def still_open(live: DataFrame) -> DataFrame:
+        """Rows of n-grams whose texts are not all connected, with the texts' roots; others have nothing left to join."""
+        live = written(live.join(components(near), "name", "left").withColumn("root", F.coalesce("root", "name")), "live")
+        open_ = live.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
+        return live.join(open_, "gram", "left_semi")
+
+    live = still_open(pre.join(counts.where("n > 2").select("gram"), "gram", "left_semi"))
+    for salt in range(STARS):
+        drawn = F.struct(F.xxhash64("gram", "name", F.lit(salt)).alias("h"), "root", *facts)
+        lead = live.groupBy("gram").agg(F.min(drawn).alias("lead")).select("gram", *[F.col("lead." + c).alias("a_" + c) for c in [*facts, "root"]])
+        more = live.join(lead, "gram").where((F.col("a_root") != F.col("root")) & enough)
+        near = near.unionByName(written(_verified(found(more), rows, t), "star"))
+        live = still_open(live.drop("root"))
     one = live.where("index").select("gram", *a_facts, F.col("root").alias("a_root"))
     shorter = (F.col("a_size") < F.col("size")) | ((F.col("a_size") == F.col("size")) & (F.col("a_name") < F.col("name")))
     rest = found(one.join(live, "gram").where((F.col("a_root") != F.col("root")) & shorter & enough))
