@@ -12,15 +12,16 @@ from codexa.llm.common import lower_ascii
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: (label, keyword, name as a pattern over words joined by blanks, address or None); versions stand as words: 2 0.
+#: (label, keywords, name as a pattern over words joined by blanks, address or None); versions stand as words: 2 0.
+#: Every match of the pattern holds one of its keywords, divided by |, from the beginning of a word on, and the keyword's first word whole.
 NAMES = [
     ("mit", "mit", r"mit(?: x11)?", "opensource org licenses mit"),
-    ("mit-0", "mit 0", r"mit 0", "opensource org licenses mit 0"),
-    ("isc", "isc", r"(?:isc|internet systems consortium)", "opensource org licenses isc"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "opensource org licenses bsd 2 clause"),
+    ("mit-0", "mit 0|mit no", r"mit (?:0|no attribution)", "opensource org licenses mit 0"),
+    ("isc", "isc|internet systems", r"(?:isc|internet systems consortium)", "opensource org licenses isc"),
+    ("bsd-2-clause", "bsd|freebsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "opensource org licenses bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "opensource org licenses bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", None),
-    ("0bsd", "bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)", "opensource org licenses 0bsd"),
+    ("0bsd", "bsd|0bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)", "opensource org licenses 0bsd"),
     ("bsd", "bsd", r"bsd(?: style)?", None),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? v?1 1", "apache org licenses license 1 1"),
     ("apache-2.0", "apache", r"apache(?: software)?(?: license)?(?: version)? v?2(?: 0)?", "apache org licenses license 2 0"),
@@ -28,19 +29,19 @@ NAMES = [
     ("gpl-1.0", "general", r"(?:gnu )?general public license(?: version)? v?1(?: 0)?", None),
     ("gpl-2.0", "general", r"(?:gnu )?general public license(?: version)? v?2(?: 0)?", "gnu org licenses old licenses gpl 2 0"),
     ("gpl-3.0", "general", r"(?:gnu )?general public license(?: version)? v?3(?: 0)?", "gnu org licenses gpl 3 0"),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl ?v?(?:ersion )?2(?: 0)?", None),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl ?v?(?:ersion )?3(?: 0)?", None),
+    ("gpl-2.0", "gpl|gpl2|gplv2|gplversion|gplersion", r"(?:gnu )?gpl ?v?(?:ersion )?2(?: 0)?", None),
+    ("gpl-3.0", "gpl|gpl3|gplv3|gplversion|gplersion", r"(?:gnu )?gpl ?v?(?:ersion )?3(?: 0)?", None),
     ("gpl", "gpl", r"(?:gnu )?gpl", "gnu org licenses gpl"),
-    ("lgpl-2.0", "lesser", r"(?:gnu )?(?:lesser|library) general public license(?: version)? v?2(?: 0)?", None),
+    ("lgpl-2.0", "lesser|library", r"(?:gnu )?(?:lesser|library) general public license(?: version)? v?2(?: 0)?", None),
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public license(?: version)? v?2 1", "gnu org licenses old licenses lgpl 2 1"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public license(?: version)? v?3(?: 0)?", "gnu org licenses lgpl 3 0"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?", "gnu org licenses lgpl"),
+    ("lgpl", "lgpl|lgpl2|lgpl3|lgplv2|lgplv3", r"(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?", "gnu org licenses lgpl"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public license(?: version)?(?: v?3(?: 0)?)?", "gnu org licenses agpl 3 0"),
-    ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: ?v?3(?: 0)?)?", "gnu org licenses agpl"),
+    ("agpl-3.0", "agpl|agpl3|agplv3", r"(?:gnu )?agpl(?: ?v?3(?: 0)?)?", "gnu org licenses agpl"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation license(?: version)?(?: 1 [123])?", "gnu org licenses fdl"),
     ("mpl-1.1", "mozilla", r"mozilla public license(?: version)? v?1 1", "mozilla org mpl 1 1"),
     ("mpl-2.0", "mozilla", r"mozilla public license(?: version)? v?2(?: 0)?", "mozilla org mpl 2 0"),
-    ("mpl", "mpl", r"mpl(?: ?v?[12] [01])?", "mozilla org mpl"),
+    ("mpl", "mpl|mpl1|mpl2|mplv1|mplv2", r"mpl(?: ?v?[12] [01])?", "mozilla org mpl"),
     ("epl-1.0", "eclipse", r"eclipse public license(?: version)? v?1(?: 0)?", "eclipse org legal epl v10"),
     ("epl-2.0", "eclipse", r"eclipse public license(?: version)? v?2(?: 0)?", "eclipse org legal epl 2 0"),
     ("edl-1.0", "eclipse", r"eclipse distribution license(?: version)?(?: v?1(?: 0)?)?", None),
@@ -55,9 +56,9 @@ NAMES = [
     ("zlib", "zlib", r"zlib(?: libpng)?", "opensource org licenses zlib"),
     ("libpng", "libpng", r"libpng", None),
     ("unlicense", "unlicense", r"(?:the )?unlicense", "unlicense org"),
-    ("wtfpl", "wtfpl", r"wtfpl(?: ?v?2)?", "wtfpl net"),
+    ("wtfpl", "wtfpl|wtfpl2|wtfplv2", r"wtfpl(?: ?v?2)?", "wtfpl net"),
     ("python-2.0", "python", r"python(?: software foundation)? license(?: version)? 2", "docs python org license"),
-    ("psf", "python", r"(?:psf|python software foundation)", None),
+    ("psf", "python|psf", r"(?:psf|python software foundation)", None),
     ("php-3.01", "php", r"php license(?: version)?(?: 3 0?1)?", "php net license"),
     ("ruby", "ruby", r"ruby", None),
     ("perl", "perl", r"same terms as perl(?: itself)?", None),
@@ -79,12 +80,12 @@ NAMES = [
 ]
 #: Creative Commons: (part of the label, short form, spelled out, part of the address).
 CC = [("by", "by", "attribution", "by"), ("by-sa", "by sa", "attribution share ?alike", "by sa"), ("by-nc", "by nc", "attribution non ?commercial", "by nc"), ("by-nd", "by nd", "attribution no ?deriv(?:ative|ate)?s?(?: works)?", "by nd"), ("by-nc-sa", "by nc sa", "attribution non ?commercial share ?alike", "by nc sa"), ("by-nc-nd", "by nc nd", "attribution non ?commercial no ?deriv(?:ative|ate)?s?(?: works)?", "by nc nd")]
-#: (label, keyword, pattern, priority) of notices that name no license.
+#: (label, keywords, pattern, priority) of notices that name no license.
 NOTICES = [
     ("public-domain", "public domain", r"(?:in|into|to) the public domain", 60),
     ("public-domain", "public domain", r"public domain (?:work|dedication|mark)", 70),
     ("copyright", "copyright", r"copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*", 40),
-    ("copyright", "copyright", r"copyrighted (?:material|work|by)", 40),
+    ("copyright", "copyrighted", r"copyrighted (?:material|work|by)", 40),
     ("proprietary", "proprietary", r"proprietary (?:and|or) confidential", 70),
     ("proprietary", "confidential", r"confidential and proprietary", 70),
     ("proprietary", "permission", r"(?:may not|no part (?:of this [a-z]+ )?may) be (?:reproduced|copied|redistributed|distributed)(?: [a-z]+){0,8} without (?:the )?(?:prior |express |written )*permission", 75),
@@ -121,7 +122,7 @@ def rules() -> list[dict]:
         add(label, "spdx", rf"spdx license identifier {tag}(?: only| or later)?", 95)
         add(label, kw, rf"{grant}{name}(?: licen[cs]e)?", 85, True)
         plain = name if "licen" in name or name.startswith(("cc ", "creative", "same terms", "cc0", "(?:the )?unlicense", "wtfpl")) else rf"{name} licen[cs]e"
-        add(label, "mit licen" if kw == "mit" and plain.endswith("licen[cs]e") and name.startswith("mit(?: x11)") else kw, plain, 65)
+        add(label, "mit licen|mit x11" if kw == "mit" and plain.endswith("licen[cs]e") and name.startswith("mit(?: x11)") else kw, plain, 65)
         if url:
             add(label, url.split(" ")[0], url, 75)
     for label, kw, pattern, priority in NOTICES:
@@ -141,7 +142,7 @@ def starts(text: Column, pattern: Column, hits: Column) -> Column:
 
 
 def detections(norm: Column, present: Column) -> Column:
-    """ARRAY<STRUCT<start, stop, priority, label>> of all rules whose keyword is ``present``, in text order, longest first."""
+    """ARRAY<STRUCT<start, stop, priority, label>> of all rules whose keywords are ``present``, in text order, longest first."""
     table = F.from_json(F.lit(json.dumps(rules())), "array<struct<kw:string,grants:boolean,pattern:string,label:string,priority:int,id:int>>")
 
     def found(r: Column) -> Column:
@@ -173,6 +174,22 @@ def surviving(found: Column) -> Column:
     return F.aggregate(found, zero, step, lambda s: s.kept)
 
 
+def gated(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_words, norm, present) from (doc_id, norm): ``present`` has the keywords of the rules that may match, and whether a grant may begin."""
+    table = rules()
+    plain = {r["kw"] for r in table if not r["grants"]}
+    parts = [(kw, k, k.split(" ")[0]) for kw in sorted({r["kw"] for r in table}) for k in kw.split("|")]
+    firsts = sorted({first for _, _, first in parts} | set(VERBS))
+    words = F.when(F.col("norm") != "", F.split("norm", " ")).otherwise(F.array().cast("array<string>"))
+    seen = F.transform(F.array(words), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.array_intersect(w, F.array(*[F.lit(k) for k in firsts])).alias("firsts")))
+    rows = rows.withColumn("seen", F.get(seen, F.lit(0)))
+    known = F.array(*[F.struct(F.lit(kw).alias("kw"), F.lit(k).alias("k"), F.lit(first).alias("first"), F.lit(kw in plain).alias("plain")) for kw, k, first in parts])
+    grant = F.arrays_overlap("seen.firsts", F.array(*[F.lit(v) for v in VERBS]))
+    held = F.filter(known, lambda x: F.array_contains("seen.firsts", x.first) & (x.plain | grant) & (F.col("norm").startswith(x.k) | F.contains("norm", F.concat(F.lit(" "), x.k))))
+    held = F.when(F.size("seen.firsts") > 0, F.transform(held, lambda x: x.kw)).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", F.col("seen.n").alias("n_words"), "norm", F.struct(held.alias("keywords"), grant.alias("grant")).alias("present"))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found).
 
@@ -184,19 +201,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     Null and empty texts: 0 words, no labels (''). Repeated rows are scanned each; empty table: no rows. Other columns
     are not read.
     """
-    keywords = sorted({r["kw"] for r in rules()})
     rows = docs.select(F.col(doc_id).alias("doc_id"), lower_ascii(F.col("text")).alias("low"))
-    rows = rows.select("doc_id", F.btrim(F.regexp_replace("low", GAP, " ")).alias("norm"))
-    firsts = sorted({k.split(" ")[0] for k in keywords} | set(VERBS))
-    words = F.when(F.col("norm") != "", F.split("norm", " ")).otherwise(F.array().cast("array<string>"))
-    seen = F.transform(F.array(words), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.array_intersect(w, F.array(*[F.lit(k) for k in firsts])).alias("firsts")))
-    rows = rows.withColumn("seen", F.get(seen, F.lit(0)))
-    plain = {r["kw"] for r in rules() if not r["grants"]}
-    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k.split(" ")[0]).alias("first"), F.lit(k in plain).alias("plain")) for k in keywords])
-    grant = F.arrays_overlap("seen.firsts", F.array(*[F.lit(v) for v in VERBS]))
-    held = F.filter(known, lambda x: F.array_contains("seen.firsts", x.first) & (x.plain | grant) & (F.col("norm").startswith(x.k) | F.contains("norm", F.concat(F.lit(" "), x.k))))
-    held = F.when(F.size("seen.firsts") > 0, F.transform(held, lambda x: x.k)).otherwise(F.array().cast("array<string>"))
-    rows = rows.select("doc_id", F.col("seen.n").alias("n_words"), "norm", F.struct(held.alias("keywords"), grant.alias("grant")).alias("present"))
+    rows = gated(rows.select("doc_id", F.btrim(F.regexp_replace("low", GAP, " ")).alias("norm")))
     spots = {}
     for phrase in BASE:
         pattern = F.lit(f"(?<![^ ]){phrase}(?![^ ])")
