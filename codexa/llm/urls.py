@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from codexa.llm.common import lower_ascii, written
 
 #: (host, beginning of the path, verdict); a rule's name is host and path in one.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-DAMPING, ROUNDS, CLOSE = 0.85, 15, 1e-4
+#: Rounds stop when no host's score changes by more than CLOSE of itself, or after ROUNDS: walks longer than that carry less than REST of all score.
+DAMPING, CLOSE, REST = 0.85, 1e-3, 1e-6
+ROUNDS = math.ceil(math.log(REST) / math.log(DAMPING))
 #: A host is a seed if rules decide at least this share of its pages one way; it is blocked if distrust outweighs trust by MARGIN.
 SEED_SHARE, MARGIN = 0.5, 1.0
 LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s<>]+)"
@@ -31,8 +35,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def rank(nodes: DataFrame, edges: DataFrame, seed: str) -> DataFrame:
     """(host, score): personalised PageRank of (src, dst) edges, restarts by the nodes' weight in ``seed``.
 
-    Rounds are written tables and stop when no score changes by more than CLOSE of the total. A round's sums are
-    partial aggregates by target, so a host with very many links is summed up where its links are.
+    Rounds are written tables and stop when no score changes by more than CLOSE of itself, however many hosts share the
+    total; so they go on while a score reaches further hosts, up to ROUNDS links. A round's sums are partial aggregates
+    by target, so a host with very many links is summed up where its links are.
     """
     total = nodes.agg(F.coalesce(F.sum(seed), F.lit(0.0))).first()[0]
     if not total:
@@ -47,7 +52,7 @@ def rank(nodes: DataFrame, edges: DataFrame, seed: str) -> DataFrame:
         sent = out.join(scores.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") / F.col("degree")).alias("in"))
         new = start.join(sent, "host", "left").join(scores.withColumnRenamed("score", "old"), "host")
         new = written(new.select("host", ((1 - DAMPING) * F.col("start") + DAMPING * F.coalesce("in", F.lit(0.0))).alias("score"), "old"), "rank")
-        moved = new.agg(F.coalesce(F.max(F.abs(F.col("score") - F.col("old"))), F.lit(0.0))).first()[0]
+        moved = new.agg(F.coalesce(F.max(F.abs(F.col("score") - F.col("old")) / F.when(F.col("score") > 0, F.col("score"))), F.lit(0.0))).first()[0]
         scores = new.select("host", "score")
         if moved < CLOSE:
             break
