@@ -14,8 +14,8 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 #: Rounds stop when no host's score changes by more than CLOSE of itself, or after ROUNDS: walks longer than that carry less than REST of all score.
 DAMPING, CLOSE, REST = 0.85, 1e-3, 1e-6
 ROUNDS = math.ceil(math.log(REST) / math.log(DAMPING))
-#: A host is a seed if rules decide at least this share of its pages one way; it is blocked if distrust outweighs trust by MARGIN.
-SEED_SHARE, MARGIN = 0.5, 1.0
+#: A host is blocked if distrust outweighs trust by MARGIN.
+MARGIN = 1.0
 LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s<>]+)"
 
 
@@ -62,9 +62,9 @@ def rank(nodes: DataFrame, edges: DataFrame, seed: str) -> DataFrame:
 def judge(pages: DataFrame, page_id: str = "page_id", rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page.
 
-    A rule's verdict holds. Pages without one take their host's: hosts whose pages rules mostly allow are trusted
-    seeds, hosts whose pages they mostly block are blocked seeds; trust flows along links between hosts, distrust
-    against them, and a host with more distrust than MARGIN times its trust is blocked.
+    A rule's verdict holds. Pages without one take their host's: hosts are trusted seeds by the number of their pages
+    that rules allow, and blocked seeds by the number of those that they block; trust flows along links between hosts,
+    distrust against them, and a host with more distrust than MARGIN times its trust is blocked.
 
     Null urls and urls without ``://`` have an empty host and path, take no part in the graph and are allowed. Null html:
     no links. Repeated rows are judged each, and count each as pages of their host; empty table: no rows. Other columns
@@ -73,13 +73,11 @@ def judge(pages: DataFrame, page_id: str = "page_id", rules=RULES) -> DataFrame:
     host, path = parts(F.col("url"))
     base = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), lambda h: F.regexp_replace(lower_ascii(h), ":[0-9]*$", ""))).alias("to"))
     base = written(base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)), "pages")
-    own = base.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("r.verdict") == "allow").alias("good"), F.count_if(F.col("r.verdict") == "block").alias("bad"))
+    own = base.where("host <> ''").groupBy("host").agg(F.count_if(F.col("r.verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("r.verdict") == "block").cast("double").alias("bad"))
     edges = base.where("host <> ''").select(F.col("host").alias("src"), F.explode("to").alias("dst")).where("src <> dst").distinct()
     edges = written(edges, "edges")
-    share = lambda c: F.when(F.col(c) / F.col("n") >= SEED_SHARE, F.col(c).cast("double")).otherwise(0.0)
-    nodes = own.select("host", share("good").alias("good"), share("bad").alias("bad"))
     extra = edges.select(F.col("dst").alias("host")).distinct().join(own.select("host"), "host", "left_anti").select("host", F.lit(0.0).alias("good"), F.lit(0.0).alias("bad"))
-    nodes = written(nodes.unionByName(extra), "hosts")
+    nodes = written(own.unionByName(extra), "hosts")
     trust = rank(nodes, edges, "good").withColumnRenamed("score", "trust")
     distrust = rank(nodes, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "bad").withColumnRenamed("score", "distrust")
     scores = trust.join(distrust, "host")
