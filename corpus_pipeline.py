@@ -22,11 +22,13 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of similar texts (five words, 0.8)."""
-    found = jaccard.join(docs)
-    # texts without words are linked with nothing, and all stay
-    keep = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    """One row, the first one of the smallest doc_id (null last), of each component of similar texts (five words, 0.8)."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    # rows are joined by number, as ids may repeat or be null; texts without words are linked with nothing, and all stay
+    found = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    keep = rows.select("doc_id", "_row").join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(keep, "_row", "left_semi").select(*_all(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
