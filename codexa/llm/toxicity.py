@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -12,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.learning import bounded_batches, fold, training_rows
+from codexa.llm.learning import bounded_batches, fold, trained, training_rows
 
-#: Bounds of the training sample: rows, the most of them toxic, and words a row (evenly spread windows; scores use whole texts).
-SAMPLE_ROWS, TOXIC_SHARE, SAMPLE_WORDS = 5000, 0.4, 320
+#: Bound of the training sample, in rows (whole texts are learned from), and the most of them toxic.
+SAMPLE_ROWS, TOXIC_SHARE = 5000, 0.4
 #: A marker (a word or the beginning of words) needs LEAST toxic texts, and RATIO times the frequency that it has in other texts.
 LEAST, RATIO = 5, 50.0
 EPOCHS, STEP_TOKENS, RATE, L2, SEED = 12, 60_000, 0.5, 1e-5, 5
@@ -114,69 +115,61 @@ def markers(texts: list[list[str]], toxic: list[bool]) -> set[str]:
     return chosen | {f for f in sharp if counts[f] >= max(2 * LEAST, 0.02 * n_bad)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep=None) -> dict:
-    """Weights by feature, transitions and start, learned from labelled words of a bounded sample.
+def gradients(emission: np.ndarray, first: np.ndarray, label: np.ndarray, logit: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of minus the log-likelihood of ``label``: by each word's emission, and by the (2, 2) logs of the transitions' potentials."""
+    p, pair = chain(emission, first, np.exp(logit), start)
+    inner = ~first
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (np.concatenate([[0], label[:-1]]).astype(int)[inner], label.astype(int)[inner]), 1)
+    return p - label, pair[inner].sum(0) - seen
+
+
+def train(texts: list[list[str]], y: list[int]) -> dict:
+    """Weights by feature, bias, transitions and start, from folded words of labelled texts.
 
     Documents carry the labels, so words are labelled first: in a toxic text each word with a marker, every other word
     is clean. Without markers all weights are 0.
     """
-    keep = F.lit(True) if keep is None else keep
-    bounded_batches(docs.sparkSession)
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = []
-            for t in b["text"]:
-                words = t.split()
-                if len(words) > SAMPLE_WORDS:  # eight windows, evenly spread
-                    size = SAMPLE_WORDS // 8
-                    starts = [i * (len(words) - size) // 7 for i in range(8)]
-                    words = [w for at in starts for w in words[at : at + size]]
-                texts.append(" ".join(folded(w) or "." for w in words))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "words": texts})
-
-    rows = training_rows(docs, labels, "toxic", keep, SAMPLE_ROWS, TOXIC_SHARE).mapInPandas(gather, "doc_id long, y int, words string").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
-    texts, y = [w.split() for w in rows["words"]], rows["y"].to_numpy(dtype=np.int64)
-    marks = markers(texts, y.tolist())
-    marked = lambda w: "w " + w in marks or any(p in marks for p in beginnings(w))
-    toxic = {w for words in texts for w in words if marked(w)}
-    model = {"weights": {}, "trans": np.full((2, 2), 0.5), "start": np.array([1.0, 0.0])}
-    texts = [(w, t) for w, t in zip(texts, y, strict=True) if w]
-    if not toxic or not texts:
+    marks = markers(texts, [bool(t) for t in y])
+    place: dict[str, int] = {}
+    for words in texts:
+        for w in words:
+            place.setdefault(w, len(place))
+    vocabulary = list(place)
+    marked = np.array(["w " + w in marks or any(p in marks for p in beginnings(w)) for w in vocabulary], dtype=bool)
+    model = {"weights": {}, "bias": 0.0, "trans": np.full((2, 2), 0.5), "start": np.array([1.0, 0.0])}
+    if not marked.any():
         return model
     names: dict[str, int] = {}
-    vocabulary: dict[str, tuple[int, ...]] = {}
-    for words, _ in texts:
-        for w in words:
-            if w not in vocabulary:
-                vocabulary[w] = tuple(names.setdefault(f, len(names)) for f in token_features(w))
+    own_ids = np.full((len(vocabulary), 6), -1, dtype=np.int32)
+    for i, w in enumerate(vocabulary):
+        found = [names.setdefault(f, len(names)) for f in token_features(w)]
+        own_ids[i, : len(found)] = found
     own = len(names)
-    near = [names.setdefault(f"{side} {w}", len(names)) for side in "<>" for w in sorted(vocabulary)]
-    place = {w: i for i, w in enumerate(sorted(vocabulary))}
-    first_near = near[0]
-    weights, squares = np.zeros(len(names)), np.full(len(names), 1e-8)
+    for side in "<>":
+        for w in vocabulary:
+            names[f"{side} {w}"] = len(names)
+    docs = [(np.array([place[w] for w in words], dtype=np.int32), bool(t)) for words, t in zip(texts, y, strict=True) if words]
+    weights, squares = np.zeros(len(names) + 1), np.full(len(names) + 1, 1e-8)  # the last one stands for no feature
+    none = len(names)
+    own_ids[own_ids < 0] = none
     bias, logit = -4.0, np.log(np.array([[0.99, 0.01], [0.9, 0.1]]))
     start = np.array([0.99, 0.01])
     rng = np.random.default_rng(SEED)
 
     def packed(part):
-        flat = [w for words, _ in part for w in words]
-        own_ids = np.full((len(flat), 6), -1)
-        for i, w in enumerate(flat):
-            own_ids[i, : len(vocabulary[w])] = vocabulary[w]
-        at = np.array([place[w] for w in flat])
-        first = np.zeros(len(flat), bool)
-        first[np.concatenate([[0], np.cumsum([len(w) for w, _ in part])[:-1]])] = True
-        label = np.array([w in toxic and bool(t) for words, t in part for w in words])
-        before = np.where(first, -1, first_near + np.concatenate([[0], at[:-1]]))
-        behind = np.where(np.concatenate([first[1:], [True]]), -1, first_near + len(place) + np.concatenate([at[1:], [0]]))
-        return np.column_stack([own_ids, before, behind]), first, label
+        at = np.concatenate([ids for ids, _ in part])
+        first = np.zeros(len(at), bool)
+        first[np.cumsum([0, *[len(ids) for ids, _ in part[:-1]]])] = True
+        label = marked[at] & np.repeat([t for _, t in part], [len(ids) for ids, _ in part])
+        before = np.where(first, none, own + np.concatenate([[0], at[:-1]]))
+        behind = np.where(np.append(first[1:], True), none, own + len(vocabulary) + np.append(at[1:], 0))
+        return np.column_stack([own_ids[at], before.astype(np.int32), behind.astype(np.int32)]), first, label
 
     parts, size, part = [], 0, []
-    for i in rng.permutation(len(texts)):
-        part.append(texts[i])
-        size += len(texts[i][0])
+    for i in rng.permutation(len(docs)):
+        part.append(docs[i])
+        size += len(docs[i][0])
         if size >= STEP_TOKENS:
             parts.append(packed(part))
             size, part = 0, []
@@ -184,22 +177,34 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None) -> dict:
         parts.append(packed(part))
     for _ in range(EPOCHS):
         for ids, first, label in parts:
-            used = np.where(ids < 0, len(weights), ids)
-            emission = np.append(weights, 0.0)[used].sum(1) + bias
-            trans = np.exp(logit) / np.exp(logit).sum(1, keepdims=True)
-            p, pair = chain(emission, first, trans, start)
-            delta = p - label
-            grad = np.bincount(used.ravel(), weights=np.repeat(delta, ids.shape[1]), minlength=len(weights) + 1)[:-1] + L2 * len(delta) * weights
+            delta, turn = gradients(weights[ids].sum(1) + bias, first, label, logit, start)
+            grad = np.bincount(ids.ravel(), weights=np.repeat(delta, ids.shape[1]), minlength=len(weights)) + L2 * len(delta) * weights
+            grad[none] = 0.0
             squares += grad**2
             weights -= RATE * grad / np.sqrt(squares)
             bias -= RATE * delta.sum() / max(10.0, np.abs(delta).sum())
-            inner = ~first
-            seen = np.zeros((2, 2))
-            np.add.at(seen, (np.concatenate([[0], label[:-1]]).astype(int)[inner], label.astype(int)[inner]), 1)
-            logit += RATE * (seen - pair[inner].sum(0)) / max(1.0, seen[1].sum())
-            logit = np.clip(logit, -8, 8)
+            logit = np.clip(logit - RATE * turn / max(1.0, float(label.sum())), -8, 8)
     kept = {f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 0.02 and (i < own or abs(weights[i]) > 0.2)}
-    return {"weights": kept, "bias": float(bias), "trans": np.exp(logit) / np.exp(logit).sum(1, keepdims=True), "start": start}
+    return {"weights": kept, "bias": float(bias), "trans": np.exp(logit), "start": start}
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep=None) -> dict:
+    """The model that ``train`` learns from the whole texts of SAMPLE_ROWS labelled rows at most. Ids may be of any type."""
+    keep = F.lit(True) if keep is None else keep
+    bounded_batches(docs.sparkSession)
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "words": [" ".join(folded(w) or "." for w in t.split()) for t in b["text"]]})
+
+    def learn(rows: pd.DataFrame) -> bytes:
+        model = train([w.split() for w in rows["words"]], rows["y"].tolist())
+        return json.dumps(model | {"trans": model["trans"].tolist(), "start": model["start"].tolist()}).encode()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = training_rows(docs, labels, "toxic", keep, SAMPLE_ROWS, TOXIC_SHARE).mapInPandas(gather, f"doc_id {kind}, y int, words string")
+    model = json.loads(trained(rows, "words", SAMPLE_ROWS, learn))
+    return model | {"trans": np.array(model["trans"]), "start": np.array(model["start"])}
 
 
 class Tagger:
@@ -266,8 +271,8 @@ def spans(text: str, p: np.ndarray) -> list[dict]:
     return out
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with toxicity: struct(score, spans). The score is the highest marginal of a word, 0 for null and empty texts."""
+def score(docs: DataFrame, model: dict, column: str = "toxicity") -> DataFrame:
+    """``docs`` with ``column``: struct(score, spans). The score is the highest marginal of a word, 0 for null and empty texts."""
 
     @F.pandas_udf("score double, spans array<struct<start:int,end:int,p:double>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -279,11 +284,16 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pd.DataFrame({"score": top, "spans": [spans(t, p) if s >= SPAN else [] for t, p, s in zip(texts, found, top, strict=True)]})
 
     bounded_batches(docs.sparkSession)
-    return docs.withColumn("toxicity", run(F.col("text")))
+    return docs.withColumn(column, run(F.col("text")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:
-    """(doc_id, held_out, score, predicted, spans) of every document; labels of held-out rows are not seen."""
+    """(doc_id, held_out, score, predicted, spans) of every document; labels of held-out rows are not seen.
+
+    Null and empty texts: score 0, no spans. A null id is in the fold of ''. Repeated rows are scored each; texts of any
+    length are tagged whole; an empty table gives no rows. Ids may be of any type. Other columns of ``docs`` are not
+    read, whatever their names.
+    """
     model = fit(docs, labels, fold(F.col("_id"), mod) != held)
     rows = score(docs.select("doc_id", "text"), model)
     s = F.col("toxicity.score")
