@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codexa.llm.common import hash_bits, n_words, written
+from codexa.llm.common import free_name, hash_bits, n_words, written
 
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, "mix-1"
 
@@ -31,8 +31,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     return rows.select("k", "source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(level).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: Column | None = None, weights=WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often each document enters the mix.
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: Column | None = None, weights=WEIGHTS, cap: float = CAP, seed: str = SEED, row: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken[, row]): how often each document enters the mix.
 
     Within a source a document's expected copies are target / source_size. Their prefix sums, in the order of falling
     size, start at one random offset per source (drawn from ``seed``), and a document is emitted once for each integer
@@ -44,11 +44,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: C
     sub-buckets of about sqrt(n) rows, so no task holds a large group.
 
     Null source: a source of its own, last. Null or empty text: size 0, takes 0 words. Repeated rows count each; empty
-    table: no rows. A total of 0: all targets 0. Other columns of ``docs`` are not read.
+    table: no rows. A total of 0: all targets 0. ``row`` names a column of numbers that tell rows apart: it breaks ties
+    and is returned. Other columns of ``docs`` are not read, whatever their names.
     """
     size = n_words(F.col("text")) if size is None else size
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
-    base = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("k")), "mix")
+    number = [F.col(row).alias("row")] if row else []
+    base = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("k"), *number), "mix")
     groups = base.groupBy("k", "size").agg(F.count("*").alias("n"), F.first("source").alias("source"))
     groups = written(groups, "mix-groups")
     goal = targets(groups.groupBy("k").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap)
@@ -59,29 +61,27 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: C
     counts = rows.groupBy("k", "size", "sub").agg(F.count("*").alias("m"))
     in_size = F.coalesce(F.sum("m").over(W.partitionBy("k", "size").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("k", "size", "sub", in_size.alias("in_size"))
-    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("k", "size", "sub").orderBy("doc_id")))
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("k", "size", "sub").orderBy("doc_id", *["row"] * bool(row))))
     rows = rows.join(counts, ["k", "size", "sub"]).join(goal.drop("source"), "k")
     rank = F.col("ahead") + F.col("in_size") + F.col("place")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = hash_bits(F.concat(F.lit(seed), F.col("k")), 8) / F.lit(2.0**32)
     copies = F.floor(F.col("each") * F.col("rank") + F.col("u")) - F.floor(F.col("each") * (F.col("rank") - 1) + F.col("u"))
     rows = rows.withColumns({"each": each, "rank": rank, "u": offset}).withColumn("copies", copies.cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *["row"] * bool(row))
 
 
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it, with the columns of ``docs``.
 
-    Rows that share a doc_id get the group's copies one after the other.
+    Rows are numbered in a written table and find their copies by that number, so repeated and null ids make no
+    difference and no group of rows meets in one task.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    taken = mix(docs, doc_id, **options).groupBy(key("doc_id").alias("_mix_key")).agg(F.array_sort(F.collect_list("copies")).alias("_mix_copies"))
-    rows = docs.withColumn("_mix_key", key(doc_id)).join(taken, "_mix_key")
-    single = rows.where(F.size("_mix_copies") == 1).withColumn("_mix_n", F.col("_mix_copies")[0])
-    place = F.row_number().over(W.partitionBy("_mix_key").orderBy("_mix_key"))
-    several = rows.where(F.size("_mix_copies") > 1).withColumn("_mix_n", F.get("_mix_copies", place - 1))
-    both = single.unionByName(several).where(F.col("_mix_n") > 0)
-    return both.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int")))).select(*[both[f"`{c}`"] for c in docs.columns])
+    row, n = free_name(docs, "_row"), free_name(docs, "_copies")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    taken = mix(rows, doc_id, row=row, **options).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(n))
+    several = F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))
+    return rows.join(taken, row).withColumn(n, several).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 # size order, sub-buckets and offset as above

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import hash_bits, written
+from codexa.llm.common import discard, free_name, hash_bits, written
 
 SHARD_BYTES = 1 << 20
 BITS, STEP, LOW = 60, 8, 12
@@ -34,18 +34,20 @@ def _resolve(rows: DataFrame, limit: int, start: int, stop: int, low: bool) -> D
     return hist.select("g", "leaf").join(found, ["g", "leaf"], "left")
 
 
-def shard(docs: DataFrame, doc_id: str = "doc_id", size: Column | None = None, limit: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, bytes, depth, shard): the shard is the prefix of ``depth`` hash bits, as a string of 0 and 1.
+def shard(docs: DataFrame, doc_id: str = "doc_id", size: Column | None = None, limit: int = SHARD_BYTES, row: str | None = None) -> DataFrame:
+    """(doc_id, bytes, depth, shard[, row]): the shard is the prefix of ``depth`` hash bits, as a string of 0 and 1.
 
     All rows start in one bucket; a bucket over ``limit`` bytes splits on the next bit, others stay, so the directory
     is the set of shortest prefixes whose bytes fit. A bucket of one row is final whatever its size. Rows of one
     doc_id share their first 60 bits; where they don't fit together, further bits are drawn from the written row's
     number, so that repeated rows split too. Levels are resolved some at a time, later ones for oversized buckets only.
 
-    Null text: 0 bytes; null doc_id: hashed as ''. Empty table: no rows. Other columns are not read.
+    Null text: 0 bytes; null doc_id: hashed as ''. Empty table: no rows. ``row`` names a column of numbers that tell
+    rows apart, which is returned. Other columns are not read, whatever their names.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)) if size is None else size
-    base = docs.select(F.col(doc_id).alias("doc_id"), size.cast("long").alias("bytes"), hash_bits(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("row"))
+    number = (F.col(row) if row else F.monotonically_increasing_id()).alias("row")
+    base = docs.select(F.col(doc_id).alias("doc_id"), size.cast("long").alias("bytes"), hash_bits(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("h"), number)
     base = written(base, "shard")
     total = base.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     bits = lambda depth, h: F.when(F.col(depth) == 0, "").otherwise(F.left(F.lpad(F.bin(h), BITS, "0"), F.col(depth)))
@@ -60,7 +62,8 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", size: Column | None = None, l
             found = _resolve(rest, limit, start, stop, low=phase == 1)
             rows = rest.withColumn("leaf", F.shiftright("h", BITS - stop)).join(found, ["g", "leaf"])
             rows = written(rows.drop("leaf"), "shard-level")
-            part = rows.where("depth is not null").select("doc_id", "bytes", (F.col("depth") + (BITS if phase == 2 else 0)).cast("long").alias("depth"), F.concat("head", bits("depth", "h")).alias("shard"))
+            depth = (F.col("depth") + (BITS if phase == 2 else 0)).cast("long")
+            part = rows.where("depth is not null").select("doc_id", "bytes", depth.alias("depth"), F.concat("head", bits("depth", "h")).alias("shard"), *["row"] * bool(row))
             done = part if done is None else done.unionByName(part)
             rest = rows.where("depth is null").drop("depth")
             if rest.isEmpty():
@@ -71,11 +74,19 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", size: Column | None = None, l
     raise ValueError("rows that share all hash bits do not fit one shard")
 
 
-def write_shards(docs: DataFrame, folder: str, doc_id: str = "doc_id", **options) -> None:
-    """Parquet under ``shard=<bits>`` folders, one file for each shard (``root`` where nothing split)."""
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    place = shard(docs, doc_id, **options).select(key("doc_id").alias("_key"), F.when(F.col("shard") == "", "root").otherwise(F.col("shard")).alias("shard")).dropDuplicates(["_key"])
-    docs.drop("shard").withColumn("_key", key(doc_id)).join(place, "_key").drop("_key").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(folder)
+def write_shards(docs: DataFrame, folder: str, doc_id: str = "doc_id", **options) -> str:
+    """All rows and columns of ``docs`` as Parquet, one file for each shard; returns the name of the folders' column.
+
+    That is ``shard``, or ``shard_`` where ``docs`` has such a column. Folders are named by the letter b and the shard's
+    bits, so that a reader takes them for text. Each row goes to its own shard: rows are told apart by their number in
+    a written table, not by their id, so repeated and null ids split as ``shard`` says.
+    """
+    row, column = free_name(docs, "_row"), free_name(docs, "shard")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    place = shard(rows, doc_id, row=row, **options).select(F.col("row").alias(row), F.concat(F.lit("b"), "shard").alias(column))
+    rows.join(place, row).drop(row).repartition(column).write.mode("overwrite").partitionBy(column).parquet(folder)
+    discard(rows)
+    return column
 
 
 SHARD_SQL = f"""WITH base AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || left(md5(doc_id::VARCHAR), 15))::BIGINT AS h FROM documents),
