@@ -6,38 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexa.llm import jaccard, mixing, packing, quality, toxicity
-from codexa.llm.common import table, written
+from codexa.llm.common import free_name, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold; learned from the labels of ``docs``."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("quality_score") >= quality.THRESHOLD).select(*_all(docs))
+    """Documents whose quality score reaches the threshold; learned from the labels of ``docs``.
+
+    Rows are judged each, repeated ones too. Null and empty texts have the score that the shares of the labels give.
+    Columns of ``docs`` stay as they are, whatever their names. Empty table: no rows.
+    """
+    model, score = quality.fit(docs, table(spark, sf_dir, "labels")), free_name(docs, "quality_score")
+    return quality.score(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(*_all(docs))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity stays below the threshold; learned from the labels of ``docs``."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("toxicity.score") < toxicity.THRESHOLD).select(*_all(docs))
+    """Documents whose toxicity stays below the threshold; learned from the labels of ``docs``.
+
+    Rows are judged each, repeated ones too. Null and empty texts are not toxic. Columns of ``docs`` stay as they are,
+    whatever their names. Empty table: no rows.
+    """
+    model, found = toxicity.fit(docs, table(spark, sf_dir, "labels")), free_name(docs, "toxicity")
+    return toxicity.score(docs, model, found).where(F.col(f"{found}.score") < toxicity.THRESHOLD).select(*_all(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, the first one of the smallest doc_id (null last), of each component of similar texts (five words, 0.8)."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    # rows are joined by number, as ids may repeat or be null; texts without words are linked with nothing, and all stay
-    found = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    keep = rows.select("doc_id", "_row").join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(keep, "_row", "left_semi").select(*_all(docs))
+    """One row, the first one of the smallest doc_id (null last), of each component of similar texts (five words, 0.8).
+
+    Rows are joined by number, so ids may repeat or be null. Texts without words are linked with nothing, and all stay.
+    Columns of ``docs`` stay as they are, whatever their names. Empty table: no rows.
+    """
+    row = free_name(docs, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard.join(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
+    keep = rows.select("doc_id", row).join(found, row).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return rows.join(keep, row, "left_semi").select(*_all(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; null sources are one source, texts without words are taken or left without effect."""
     return mixing.mixed_rows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequence and place in it."""
+    """Pieces with their sequence and place in it; null and empty texts are one piece, the end alone."""
     return packing.pack(docs)
 
 
