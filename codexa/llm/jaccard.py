@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexa.llm.common import discard, written
-from codexa.llm.learning import bounded_batches
+from codexa.llm.learning import bounded_batches, give_back
 
 #: Five words and 0.8, the defaults; a contract may ask for others.
 N, THRESHOLD = 5, 80
@@ -21,7 +21,9 @@ COMMON = 64
 #: Bits of an n-gram's hash: the rest of its key. Two n-grams of a pair of 1000 each fall together once in 10 ** 11 pairs.
 BITS = 58
 #: N-grams that a worker gathers before it deals them out, and about as many go to one reducing group.
-BUFFER, GROUP = 1_000_000, 1_000_000
+BUFFER, GROUP = 500_000, 1_000_000
+#: Words whose hashes, and texts whose names a worker keeps.
+CACHE_WORDS = 100_000
 #: Partitions that groups are dealt over, at most; more groups share partitions.
 PARTITIONS = 50_000
 #: Rounds in which each n-gram whose texts are not all connected links them by one of them, before all its pairs meet.
@@ -51,7 +53,7 @@ class Grams:
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > CACHE_WORDS:
             known.clear()
         try:
             h = np.array([known[w] for w in words], dtype=np.uint64)
@@ -112,6 +114,8 @@ def texts(docs: DataFrame, doc_id: str, n: int) -> DataFrame:
             found = [grams(t) for t in b["text"].fillna("")]
             out = pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(g) for g in found], "sig": [signature(g) if len(g) else None for g in found]})
             yield out.astype({"doc_id": "Int64"}) if str(out["doc_id"].dtype).startswith("float") else out
+        grams.known.clear()
+        give_back()
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("doc_id"), "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, sig binary")
@@ -238,7 +242,7 @@ def _deal(docs: DataFrame, n: int, groups: int, bits: int, again: dict[bytes, in
                 name = named(sig, bits, again.get(sig, 0))
                 if name in seen:
                     continue
-                if len(seen) > 300_000:
+                if len(seen) > CACHE_WORDS:
                     seen.clear()
                 seen.add(name)
                 sets.append(g)
@@ -249,6 +253,8 @@ def _deal(docs: DataFrame, n: int, groups: int, bits: int, again: dict[bytes, in
                     held = 0
         if sets:
             yield flush()
+        grams.known.clear()
+        give_back()
 
     bounded_batches(docs.sparkSession)
     return docs.select("text").mapInPandas(run, PACKED)
@@ -300,6 +306,7 @@ def ordered_texts(docs: DataFrame, n: int, t: int, total: int, bits: int = 64, a
         for a, b in _runs(_starts(owner), len(owner)):
             u, each = np.unique(sig[a:b], return_counts=True)
             rows.append((2, int(owner[a]), b - a, flat_h[a:b].tobytes(), df[a:b].tobytes(), u.tobytes(), each.astype(np.int32).tobytes()))
+        give_back()
         return pd.DataFrame(rows, columns=pdf.columns)
 
     # the number of partitions follows the number of n-grams, so that tasks stay as large as they are

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,11 +17,21 @@ def fold(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that long texts don't add up in a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > rows:
-        spark.conf.set(name, str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows and 8 MB from now on, so that long texts don't add up in a worker."""
+    for name, most, default in (("maxRecordsPerBatch", 1000, 10_000), ("maxBytesPerBatch", 8 << 20, 64 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        set_to = spark.conf.get(name, str(default)).lower().removesuffix("b")
+        if not set_to.isdigit() or not 0 < int(set_to) <= most:
+            spark.conf.set(name, str(most))
+
+
+def give_back() -> None:
+    """Memory that was freed goes back to the system: a worker process lives on for other tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps it
+        return
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int, least_share: float = 0.0) -> DataFrame:
@@ -49,6 +60,8 @@ def trained(rows: DataFrame, facts: str, limit: int, train: Callable[[pd.DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
         yield pd.DataFrame({"model": [train(pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns))]})
+        parts.clear()
+        give_back()
 
     found = rows.mapInPandas(run, "model binary").first()
     return bytes(found[0]) if found else train(pd.DataFrame(columns=columns))

@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -83,36 +82,51 @@ def token_features(word: str) -> list[str]:
     return ["w " + word, *beginnings(word), "s " + word[-4:]] if word else []
 
 
-def markers(texts: list[list[str]], toxic: list[bool]) -> set[str]:
-    """Words and beginnings of words that mark toxic texts.
+def markers(texts: list[np.ndarray], toxic: list[bool], vocabulary: list[str]) -> np.ndarray:
+    """Which words of ``vocabulary`` mark toxic texts (arrays of places in it), by themselves or by their beginnings.
 
-    First a greedy cover: always the marker that explains most toxic texts not explained so far, so that words which
-    only stand beside a marker are not taken for one. Then all others that are as exclusive and in 2 % of the toxic
-    texts. Near copies, which share the four lowest word hashes, count once.
+    First a greedy cover: always the marker (a word, or a beginning of words) that explains most toxic texts not
+    explained so far, so that words which only stand beside a marker are not taken for one. Then all others that are
+    as exclusive and in 2 % of the toxic texts. Near copies, which share the four lowest word hashes, count once.
     """
-    seen, found = set(), ([], [])
-    for words, t in zip(texts, toxic, strict=True):
-        have = set(words)
-        sign = tuple(sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in have)[:4])
-        if sign not in seen:
-            seen.add(sign)
-            found[bool(t)].append(have)
-    expand = lambda have: {f for w in have if len(w) > 1 for f in ("w " + w, *beginnings(w))}
-    bad = [expand(h) for h in found[True]]
-    counts = Counter(f for fs in bad for f in fs)
-    often = {f for f, c in counts.items() if c >= LEAST}
-    good = Counter(f for h in found[False] for f in expand(h) if f in often)
-    n_bad, n_good = max(len(bad), 1), max(len(found[False]), 1)
-    sharp = {f for f in often if counts[f] / n_bad >= RATIO * (good[f] + 0.5) / n_good}
-    left, chosen = [fs & sharp for fs in bad], set()
+    names: dict[str, int] = {}
+    of_word = [np.array([names.setdefault(f, len(names)) for f in ("w " + w, *beginnings(w))] if len(w) > 1 else [], dtype=np.int32) for w in vocabulary]
+    hashes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in vocabulary], dtype=np.int64)
+    seen, n_good, n_bad = set(), 0, 0
+    good, bad = np.zeros(len(names), np.int64), []
+    for ids, t in zip(texts, toxic, strict=True):
+        have = np.unique(ids)
+        sign = tuple(np.sort(hashes[have])[:4].tolist())
+        if sign in seen:
+            continue
+        seen.add(sign)
+        found = np.unique(np.concatenate([of_word[i] for i in have])) if len(have) else np.empty(0, np.int32)
+        if t:
+            bad.append(found)
+        else:
+            good[found] += 1
+            n_good += 1
+    n_bad, n_good = max(len(bad), 1), max(n_good, 1)
+    count = lambda sets: np.bincount(np.concatenate(sets), minlength=len(names)) if sets else np.zeros(len(names), np.int64)
+    counts = count(bad)
+    sharp = (counts >= LEAST) & (counts / n_bad >= RATIO * (good + 0.5) / n_good)
+    order = sorted(names, key=lambda f: (len(f), f))  # of equal gains the longest, last name wins
+    rank = np.empty(len(names), np.int64)
+    rank[[names[f] for f in order]] = np.arange(len(names))
+    chosen = sharp & (counts >= max(2 * LEAST, 0.02 * n_bad))
+    left = [fs[sharp[fs]] for fs in bad]
     while True:
-        gain = Counter(f for fs in left for f in fs)
-        best = max(gain, key=lambda f: (gain[f] - 10 * good[f], len(f), f), default=None)
-        if best is None or gain[best] < LEAST:
+        gain = count(left)
+        worth = np.where(gain > 0, gain - 10 * good, -(1 << 40))
+        top = np.flatnonzero(worth == worth.max()) if len(worth) else worth
+        if not len(top) or worth[top[0]] == -(1 << 40):
+            break
+        best = top[np.argmax(rank[top])]
+        if gain[best] < LEAST:
             break
-        chosen.add(best)
+        chosen[best] = True
         left = [fs for fs in left if best not in fs]
-    return chosen | {f for f in sharp if counts[f] >= max(2 * LEAST, 0.02 * n_bad)}
+    return np.array([bool(chosen[fs].any()) for fs in of_word], dtype=bool)
 
 
 def gradients(emission: np.ndarray, first: np.ndarray, label: np.ndarray, logit: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,19 +138,16 @@ def gradients(emission: np.ndarray, first: np.ndarray, label: np.ndarray, logit:
     return p - label, pair[inner].sum(0) - seen
 
 
-def train(texts: list[list[str]], y: list[int]) -> dict:
+def train(texts: Iterable[list[str]], y: list[int]) -> dict:
     """Weights by feature, bias, transitions and start, from folded words of labelled texts.
 
     Documents carry the labels, so words are labelled first: in a toxic text each word with a marker, every other word
     is clean. Without markers all weights are 0.
     """
-    marks = markers(texts, [bool(t) for t in y])
     place: dict[str, int] = {}
-    for words in texts:
-        for w in words:
-            place.setdefault(w, len(place))
+    texts = [np.array([place.setdefault(w, len(place)) for w in words], dtype=np.int32) for words in texts]
     vocabulary = list(place)
-    marked = np.array(["w " + w in marks or any(p in marks for p in beginnings(w)) for w in vocabulary], dtype=bool)
+    marked = markers(texts, [bool(t) for t in y], vocabulary)
     model = {"weights": {}, "bias": 0.0, "trans": np.full((2, 2), 0.5), "start": np.array([1.0, 0.0])}
     if not marked.any():
         return model
@@ -149,7 +160,7 @@ def train(texts: list[list[str]], y: list[int]) -> dict:
     for side in "<>":
         for w in vocabulary:
             names[f"{side} {w}"] = len(names)
-    docs = [(np.array([place[w] for w in words], dtype=np.int32), bool(t)) for words, t in zip(texts, y, strict=True) if words]
+    docs = [(ids, bool(t)) for ids, t in zip(texts, y, strict=True) if len(ids)]
     weights, squares = np.zeros(len(names) + 1), np.full(len(names) + 1, 1e-8)  # the last one stands for no feature
     none = len(names)
     own_ids[own_ids < 0] = none
@@ -198,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None) -> dict:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "words": [" ".join(folded(w) or "." for w in t.split()) for t in b["text"]]})
 
     def learn(rows: pd.DataFrame) -> bytes:
-        model = train([w.split() for w in rows["words"]], rows["y"].tolist())
+        model = train((w.split() for w in rows["words"]), rows["y"].tolist())
         return json.dumps(model | {"trans": model["trans"].tolist(), "start": model["start"].tolist()}).encode()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
