@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codexa.llm.common import written
+from codexa.llm.learning import bounded_batches
 
 K = 5
 #: Vectors of lengths within a factor of 2 ** (1 / PER_OCTAVE) share a bucket; a bucket is dealt into blocks of about BLOCK vectors.
@@ -26,10 +27,6 @@ def quantized(embedding: Column, scale: int = 256) -> Column:
     return F.when(embedding.isNotNull() & (F.size(embedding) > 0) & ~bad, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale)))
 
 
-def _matrix(blob: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(blob, dtype="<i8").reshape(-1, dim)
-
-
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact inner products: in doubles where all sums are below 2 ** 53, else in 64-bit integers."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
@@ -129,10 +126,8 @@ def topk(vectors: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_id"
                 out = [(q_rows[i], q_ids[i], ids[j], s) for i, js, ss in probe(q, q_rows, floor, v, rows, ids, k) for j, s in zip(js, ss, strict=True)]
                 yield pd.DataFrame(out, columns=["q_row", "query_id", "vec_id", "score"]).astype("int64")
 
-    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(conf, "16")  # a row is a block of vectors
+    bounded_batches(spark)  # by bytes, as a row is a block of vectors
     found = written(meets.join(cand, ["dim", "bucket", "block"]).select("q", "c").mapInPandas(run, "q_row long, query_id long, vec_id long, score long"), "found")
-    spark.conf.set(conf, "1000")
     rank = F.row_number().over(W.partitionBy("q_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
