@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codexa.llm.common import written
-from codexa.llm.learning import bounded_batches
+from codexa.llm.learning import bounded_batches, give_back
 
 LENGTH, END = 4096, 1
 CACHE_WORDS = 300_000
@@ -73,14 +73,21 @@ class Encoder:
     """Token ids of a text as little-endian bytes.
 
     The tokenizer never joins what a blank, tab or line end separates, and lower-cases and splits
-    PLAIN words as ATOM does, so ids are looked up by word and atom.
+    PLAIN words as ATOM does, so ids are looked up by word and atom. Tokens that were added to the vocabulary stand
+    before all that, anywhere in a text: a text that holds one goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.known = Words(Tokenizer.from_file(path))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known = Words(self.tokenizer)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known = self.known
@@ -88,7 +95,8 @@ class Encoder:
             known.clear()
         if len(known.atoms) > CACHE_WORDS:
             known.atoms.clear()
-        return [b"".join(map(known.__getitem__, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
+        held = [self.added is not None and self.added.search(t) is not None for t in texts]
+        return [self.whole(t) if h else b"".join(map(known.__getitem__, t.replace("\n", " ").replace("\t", " ").split(" "))) for t, h in zip(texts, held, strict=True)]
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", path: str | None = None, length: int = LENGTH, end: int = END, keep_ids: bool = False) -> DataFrame:
@@ -111,6 +119,9 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", path: str | None = None, len
                 if str(out["doc_id"].dtype).startswith("float"):  # null ids beside whole numbers
                     out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
+        encode.known.clear()
+        encode.known.atoms.clear()
+        give_back()
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("doc_id"), "text").mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
