@@ -102,7 +102,8 @@ NOTICES = [
 ]
 #: Words that begin a grant.
 VERBS = ["licensed", "released", "distributed", "available", "published", "provided", "covered", "governed", "shared", "redistribute", "redistributed"]
-LEVELS = (90, 80, 70, 60, 50, 0)
+#: All priorities of rules.
+LEVELS = (95, 90, 85, 75, 70, 65, 60, 50, 40, 30)
 
 
 def rules() -> list[dict]:
@@ -155,21 +156,17 @@ def detections(norm: Column, present: Column) -> Column:
 def surviving(found: Column) -> Column:
     """Detections that no other one of the same or a higher priority contains.
 
-    One pass in the order of starts: of each level of priority it keeps the furthest end so far. Of equal intervals the higher priority stands first and
-    suppresses the rest.
+    One pass in the order of starts, longest first: of each priority it keeps the furthest end so far. Of equal
+    intervals the higher priority stands first and suppresses the rest; of the same priority the first label stays.
     """
     zero = F.struct(*[F.lit(-1).alias(f"e{p}") for p in LEVELS], F.array().cast("array<struct<priority:int,label:string,start:int,stop:int>>").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
         stop, p = -x.minus_stop, -x.minus_priority
-        hidden = F.lit(False)
-        for level in LEVELS:
-            lower = F.lit(level) >= p - 9
-            hidden = hidden | (lower & (s[f"e{level}"] >= stop))
-        inside = lambda level, above: (p >= level) & (p < above)
-        ends = [F.when(inside(level, above), F.greatest(s[f"e{level}"], stop)).otherwise(s[f"e{level}"]).alias(f"e{level}") for level, above in zip(LEVELS, (1000, *LEVELS), strict=False)]
+        ends = F.greatest(*[F.when(F.lit(level) >= p, s[f"e{level}"]).otherwise(-1) for level in LEVELS])
+        new = [F.when(p == level, F.greatest(s[f"e{level}"], stop)).otherwise(s[f"e{level}"]).alias(f"e{level}") for level in LEVELS]
         one = F.array(F.struct(p.alias("priority"), x.label.alias("label"), x.start.alias("start"), stop.alias("stop")))
-        return F.struct(*ends, F.when(hidden, s.kept).otherwise(F.concat(s.kept, one)).alias("kept"))
+        return F.struct(*new, F.when(ends >= stop, s.kept).otherwise(F.concat(s.kept, one)).alias("kept"))
 
     return F.aggregate(found, zero, step, lambda s: s.kept)
 

@@ -1,6 +1,7 @@
 """Every form that a license rule matches passes the rule's gate."""
 
 import itertools
+import random
 import re
 from re import _parser
 
@@ -60,3 +61,19 @@ def test_glued_names_are_found(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "doc_id long, text string").withColumn("lang", F.lit("en"))
     got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs).collect()}
     assert not [(t, got[i]) for i, (t, label) in enumerate(want.items()) if label not in got[i]]
+
+
+def test_detections_are_those_of_a_plain_scan(spark):
+    rng = random.Random(5)
+    parts = ["licensed under the MIT License", "GNU General Public License version 3", "Apache License 2.0", "all rights reserved", "CC BY-SA 4.0", "Copyright 2011 2012", "BSD 3-clause license", "SPDX-License-Identifier: Apache-2.0", "released under the terms of the Mozilla Public License 2.0", "in the public domain", "http://creativecommons.org/licenses/by-sa/4.0", "proprietary and confidential", "without any warranty of any kind", "plain words", "by the", "under", "zlib license", "may not be copied without prior written permission"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    table = [(r, re.compile(r["pattern"])) for r in licenses.rules()]
+    assert {r["priority"] for r, _ in table} == set(licenses.LEVELS)
+    for i, text in enumerate(texts):
+        norm = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()))
+        every = {(m.start(), m.end(), r["priority"], r["label"]) for r, p in table for m in p.finditer(norm)}
+        alive = {(a, b, p, x) for a, b, p, x in every if not any(c <= a and b <= d and q >= p and ((c, d) != (a, b) or q > p or (q == p and y < x)) for c, d, q, y in every)}
+        assert {(d.start, d.stop, d.priority, d.label) for d in got[i].found or []} == alive, text
+        base = {label for phrase, label in licenses.BASE.items() if re.search(f"(?<![^ ]){phrase}(?![^ ])", norm)}
+        assert got[i].labels == ",".join(sorted(base | {x for *_, x in alive})) and got[i].base_labels == ",".join(sorted(base))

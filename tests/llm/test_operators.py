@@ -147,7 +147,7 @@ def test_packing(docs, none):
 
 def test_ids_are_the_tokenizers():
     encode = packing.Encoder(packing.default_tokenizer())
-    for text in ["It's I'LL don't 'tis A1b2 x'sy", "Été, straße ŒUVRE! ñ3 Ёлка's", "J\u030c I\u0307 \u0130x ΟΔΟΣ 中文\r\x0bx\u00a0y", "a\tb\n\nc", "\x1c%%%…''", ""]:
+    for text in ["It's I'LL don't 'tis A1b2 x'sy", "Été, straße ŒUVRE! ñ3 Ёлка's", "J\u030c I\u0307 \u0130x ΟΔΟΣ 中文\r\x0bx\u00a0y", "a\tb\n\nc", "\x1c%%%…''", "", "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext", "<|endoftext|>"]:
         assert encode([text])[0] == np.array(encode.known.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
 
 
