@@ -81,9 +81,16 @@ def suffix(path) -> Column:
     return F.lower(F.regexp_extract(_col(path), r"\.([^./]*)$", 1))
 
 
+def dot(a, b) -> Column:
+    """Inner product of two arrays in double arithmetic."""
+    return F.aggregate(F.zip_with(_col(a), _col(b), lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine(a, b) -> Column:
     """Cosine similarity of two float arrays in double arithmetic; null where a norm is 0."""
-    a, b = _col(a), _col(b)
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
+    length = norm(a) * norm(b)
+    return F.when(length > 0, dot(a, b) / length)

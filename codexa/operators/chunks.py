@@ -16,26 +16,37 @@ def enriched(document, article, hierarchy, text) -> Column:
 
 
 def flatten_articles(articles: DataFrame) -> DataFrame:
-    """(document, art_ord, sub_ord, articulo, etiqueta, texto) in the order general, fractions with their items, direct items."""
-    general, base = strip(F.coalesce("texto_general", F.lit(""))), strip(F.coalesce("jerarquia", F.lit("")))
+    """(document, art_ord, sub_ord, articulo, etiqueta, texto) in the order general, fractions with their items, direct items.
+
+    The record is bound once, as the variable of a lambda: what refers to its fields several times would otherwise
+    repeat the whole parse in the plan for each.
+    """
     val = lambda c: strip(F.coalesce(c, F.lit("")))
     piece = lambda label, text: F.struct(label.alias("etiqueta"), text.alias("texto"))
-    label = lambda *parts: strip_dashes(F.concat(base, *parts))
-
-    def of_fraction(f: Column) -> Column:
-        name = F.concat(F.lit(" - Fraccion "), f.fraccion)
-        own = F.array(piece(label(name), join_non_empty(general, val(f.texto_general))))
-        inner = F.transform(F.coalesce(f.incisos, F.array().cast("array<struct<inciso:string,texto_general:string>>")), lambda i: piece(label(name, F.lit(" - Inciso "), i.inciso, F.lit(")")), join_non_empty(general, val(f.texto_general), val(i.texto_general))))
-        return F.concat(own, inner)
-
     none = F.array().cast("array<struct<etiqueta:string,texto:string>>")
-    parts = F.concat(
-        F.array(piece(base, general)),
-        F.coalesce(F.flatten(F.transform("fracciones", of_fraction)), none),
-        F.coalesce(F.transform("incisos_directos", lambda i: piece(label(F.lit(" - Inciso "), i.inciso, F.lit(")")), join_non_empty(general, val(i.texto_general)))), none),
-    )
-    rows = articles.withColumns({"articulo": F.coalesce("articulo", F.lit("Articulo Desconocido")), "parts": F.filter(parts, lambda p: p.texto != "")})
-    return rows.select("document", "art_ord", "articulo", F.posexplode("parts").alias("sub_ord", "p")).select("document", "art_ord", "sub_ord", "articulo", "p.etiqueta", "p.texto")
+    no_items = F.array().cast("array<struct<inciso:string,texto_general:string>>")
+
+    def of_record(rec: Column) -> Column:
+        label = lambda *parts: strip_dashes(F.concat(rec.base, *parts))
+
+        def of_fraction(f: Column) -> Column:
+            name = F.concat(F.lit(" - Fraccion "), f.fraccion)
+            own = F.array(piece(label(name), join_non_empty(rec.general, val(f.texto_general))))
+            of_item = lambda i: piece(label(name, F.lit(" - Inciso "), i.inciso, F.lit(")")), join_non_empty(rec.general, val(f.texto_general), val(i.texto_general)))
+            return F.concat(own, F.transform(F.coalesce(f.incisos, no_items), of_item))
+
+        direct = lambda i: piece(label(F.lit(" - Inciso "), i.inciso, F.lit(")")), join_non_empty(rec.general, val(i.texto_general)))
+        parts = F.concat(
+            F.array(piece(rec.base, rec.general)),
+            F.coalesce(F.flatten(F.transform(rec.fracciones, of_fraction)), none),
+            F.coalesce(F.transform(rec.incisos, direct), none),
+        )
+        return F.filter(parts, lambda p: p.texto != "")
+
+    record = F.struct(val(F.col("texto_general")).alias("general"), val(F.col("jerarquia")).alias("base"), F.col("fracciones").alias("fracciones"), F.col("incisos_directos").alias("incisos"))
+    rows = articles.select("document", "art_ord", F.coalesce("articulo", F.lit("Articulo Desconocido")).alias("articulo"), F.explode(F.array(record)).alias("rec"))
+    rows = rows.select("document", "art_ord", "articulo", F.posexplode(F.get(F.transform(F.array("rec"), of_record), F.lit(0))).alias("sub_ord", "p"))
+    return rows.select("document", "art_ord", "sub_ord", "articulo", "p.etiqueta", "p.texto")
 
 
 def chunks(articles: DataFrame) -> DataFrame:

@@ -89,10 +89,12 @@ def structure(docs: DataFrame, document="document", text="text", mode: str = "co
     """Article records: document, art_ord, pos, articulo, jerarquia, texto_general, historial_dof, fracciones, incisos_directos, referencias_articulos."""
     none = F.array().cast("array<struct<inciso:string,texto_general:string>>")
     out = split_articles(docs, document, text, mode)
-    out = out.withColumns({"historial_dof": gazette_notes(F.col("cuerpo")), "limpio": without_notes(F.col("cuerpo"))})
-    out = out.withColumn("fracciones", fractions(F.col("limpio")))
+    # explode of one element binds a value: the optimiser would put its expression wherever the column is used
+    once = lambda c: F.explode(F.array(c))
+    out = out.withColumn("historial_dof", gazette_notes(F.col("cuerpo"))).withColumn("limpio", once(without_notes(F.col("cuerpo"))))
+    out = out.withColumn("fracciones", once(fractions(F.col("limpio"))))
     has = F.size("fracciones") > 0
-    out = out.withColumn("incisos_directos", F.when(has, none).otherwise(items(F.col("limpio"))))
+    out = out.withColumn("incisos_directos", once(F.when(has, none).otherwise(items(F.col("limpio")))))
     lead = F.when(has, before(F.col("limpio"), P.FRACTION_MARK)).when(F.size("incisos_directos") > 0, before(F.col("limpio"), P.ITEM_MARK)).otherwise(F.col("limpio"))
     out = out.withColumn("lead", lead)
     text_of = lambda xs: F.array_join(F.transform(xs, lambda x: x.texto_general), " ")

@@ -52,12 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 TOKENS = r"list_filter(string_split_regex(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda x: x <> '')"
 TOK = f"tok AS (SELECT doc_id AS id, unnest({TOKENS.format('text')}) AS term FROM documents)"
-BM25 = f"""{TOK}, posts AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL),
+IDF = f"""tok AS MATERIALIZED (SELECT DISTINCT doc_id AS id, unnest({TOKENS.format("text")}) AS term FROM documents),
+raws AS MATERIALIZED (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM tok GROUP BY 1),
+mean AS MATERIALIZED (SELECT avg(raw) AS mean_raw FROM raws)"""
+BM25 = f"""{TOK}, posts AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL),
 lens AS (SELECT doc_id AS id, len({TOKENS.format("text")})::BIGINT AS dl FROM documents),
 st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM lens),
 dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY 1),
-raws AS (SELECT term, df, ln((n_docs - df + 0.5) / (df + 0.5)) AS raw FROM dfs, st),
-idfs AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws),
+raws AS MATERIALIZED (SELECT term, df, ln((n_docs - df + 0.5) / (df + 0.5)) AS raw FROM dfs, st),
+mean AS MATERIALIZED (SELECT avg(raw) AS mean_raw FROM raws),
+idfs AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean_raw ELSE raw END AS idf FROM raws, mean),
 scores AS (SELECT query_id, id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM (SELECT query_id, term, count(*) AS qtf FROM qtok GROUP BY ALL) JOIN idfs USING (term) JOIN posts USING (term) JOIN lens USING (id), st GROUP BY ALL)"""
 ONE = f"qs AS (SELECT 0::BIGINT AS query_id, '{TEXT_QUERY}' AS text)"
@@ -129,7 +133,7 @@ def corpus_stats(spark, d):
     return base.join(terms, how="cross").join(cards, how="cross")
 
 
-@query(f"WITH {ONE}, {QTOK}, {BM25} SELECT term, df, round(idf, 6) AS idf FROM idfs")
+@query(f"WITH {IDF} SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean_raw ELSE raw END, 6) AS idf FROM raws, mean")
 def idf_with_floor(spark, d):
     docs = _docs(spark, d)
     idf = L.idf_floored(L.document_frequency(L.postings(docs)), L.corpus_stats(L.doc_lengths(docs)))

@@ -12,7 +12,7 @@ from codexa.operators.structure import structure
 
 def statute_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
     """(document, text, arrived) of text files."""
-    rows = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", per_trigger).text(folder)
+    rows = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(folder, wholetext=True)
     return rows.select(file_stem("_metadata.file_name").alias("document"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("arrived"))
 
 
