@@ -21,7 +21,7 @@ COMMON = 64
 #: Bits of an n-gram's hash: the rest of its key. Two n-grams of a pair of 1000 each fall together once in 10 ** 11 pairs.
 BITS = 58
 #: N-grams that a worker gathers before it deals them out, and about as many go to one reducing group.
-BUFFER, GROUP = 500_000, 1_000_000
+BUFFER, GROUP = 250_000, 600_000
 #: Words whose hashes, and texts whose names a worker keeps.
 CACHE_WORDS = 100_000
 #: Partitions that groups are dealt over, at most; more groups share partitions.

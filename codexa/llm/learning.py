@@ -18,8 +18,8 @@ def fold(doc_id: Column, mod: int) -> Column:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1000 rows and 8 MB from now on, so that long texts don't add up in a worker."""
-    for name, most, default in (("maxRecordsPerBatch", 1000, 10_000), ("maxBytesPerBatch", 8 << 20, 64 << 20)):
+    """Arrow batches of at most 1000 rows and 2 MB from now on, so that long texts don't add up in a worker."""
+    for name, most, default in (("maxRecordsPerBatch", 1000, 10_000), ("maxBytesPerBatch", 2 << 20, 64 << 20)):
         name = f"spark.sql.execution.arrow.{name}"
         set_to = spark.conf.get(name, str(default)).lower().removesuffix("b")
         if not set_to.isdigit() or not 0 < int(set_to) <= most:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.learning import bounded_batches, fold, trained, training_rows
+from codexa.llm.learning import bounded_batches, fold, give_back, trained, training_rows
 
 HASHED, DIM, NGRAMS = 1 << 16, 8, (3, 4)
 #: Word bigrams have a vector by their pattern: two times one word, or two words.
@@ -20,7 +20,7 @@ BUCKETS = HASHED + 2
 #: Bound of the training sample, in rows; whole texts are learned from.
 SAMPLE_ROWS = 4000
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 12, 1500, 32, 0.5, 11
-CACHE_WORDS, BLOCK_WORDS = 300_000, 100_000
+CACHE_WORDS, BLOCK_WORDS = 100_000, 100_000
 THRESHOLD = 0.3
 
 
@@ -164,6 +164,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "quali
         scorer = Scorer(weights, bias)
         for texts in batches:
             yield pd.Series(scorer(texts.fillna("").tolist()), dtype="float64")
+        scorer.known.clear()
+        give_back()
 
     bounded_batches(docs.sparkSession)
     return docs.withColumn(column, run(F.col("text")))

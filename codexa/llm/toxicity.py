@@ -12,14 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.learning import bounded_batches, fold, trained, training_rows
+from codexa.llm.learning import bounded_batches, fold, give_back, trained, training_rows
 
 #: Bound of the training sample, in rows (whole texts are learned from), and the most of them toxic.
 SAMPLE_ROWS, TOXIC_SHARE = 5000, 0.4
 #: A marker (a word or the beginning of words) needs LEAST toxic texts, and RATIO times the frequency that it has in other texts.
 LEAST, RATIO = 5, 50.0
 EPOCHS, STEP_TOKENS, RATE, L2, SEED = 12, 60_000, 0.5, 1e-5, 5
-CACHE_WORDS, BLOCK, SPAN = 300_000, 64, 0.5
+CACHE_WORDS, BLOCK, SPAN = 100_000, 64, 0.5
 THRESHOLD = 0.3
 EDGE = re.compile(r"^\W+|\W+$")
 
@@ -293,6 +293,8 @@ def score(docs: DataFrame, model: dict, column: str = "toxicity") -> DataFrame:
             found = [p for at in range(0, len(texts), 100) for p in tagger(texts[at : at + 100])]
             top = [float(p.max()) if len(p) else 0.0 for p in found]
             yield pd.DataFrame({"score": top, "spans": [spans(t, p) if s >= SPAN else [] for t, p, s in zip(texts, found, top, strict=True)]})
+        tagger.clear()
+        give_back()
 
     bounded_batches(docs.sparkSession)
     return docs.withColumn(column, run(F.col("text")))
