@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexa.llm.common import discard, written
-from codexa.llm.learning import bounded_batches, give_back
+from codexa.llm.learning import bounded_batches, give_back, tidy
 
 #: Five words and 0.8, the defaults; a contract may ask for others.
 N, THRESHOLD = 5, 80
@@ -114,11 +114,9 @@ def texts(docs: DataFrame, doc_id: str, n: int) -> DataFrame:
             found = [grams(t) for t in b["text"].fillna("")]
             out = pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(g) for g in found], "sig": [signature(g) if len(g) else None for g in found]})
             yield out.astype({"doc_id": "Int64"}) if str(out["doc_id"].dtype).startswith("float") else out
-        grams.known.clear()
-        give_back()
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).alias("doc_id"), "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, sig binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), "text").mapInPandas(tidy(run), f"doc_id {kind}, n_shingles long, sig binary")
 
 
 def names_of(sig: str, bits: int, again: dict[bytes, int]) -> Column:
@@ -253,11 +251,9 @@ def _deal(docs: DataFrame, n: int, groups: int, bits: int, again: dict[bytes, in
                     held = 0
         if sets:
             yield flush()
-        grams.known.clear()
-        give_back()
 
     bounded_batches(docs.sparkSession)
-    return docs.select("text").mapInPandas(run, PACKED)
+    return docs.select("text").mapInPandas(tidy(run), PACKED)
 
 
 def _refs(row) -> np.ndarray:
@@ -364,7 +360,7 @@ def _prefixes(rows: DataFrame, t: int) -> DataFrame:
                 yield pd.concat(out).astype({c: "int64" for c in ["gram", "name", "size", "pos", "own", *MAP]} | {"index": "bool"})
 
     schema = "gram long, name long, size long, pos long, index boolean, own long, " + ", ".join(f"{m} long" for m in MAP)
-    return rows.select("name", "size", "unique", "grams").mapInPandas(run, schema)
+    return rows.select("name", "size", "unique", "grams").mapInPandas(tidy(run), schema)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, t: int) -> DataFrame:
@@ -387,7 +383,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, t: int) -> DataFrame:
 
     one = rows.select(F.col("name").alias("a"), F.col("size").alias("n"), F.col("grams").alias("x"))
     two = rows.select(F.col("name").alias("b"), F.col("size").alias("m"), F.col("grams").alias("y"))
-    return pairs.join(two, "b").join(one, "a").mapInPandas(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").mapInPandas(tidy(run), "a long, b long")
 
 
 def union_find(edges: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -432,7 +428,7 @@ def components(edges: DataFrame, in_task: int = LINKS_IN_TASK) -> DataFrame:
         smaller = written(live(edges.join(to("a"), "a").join(to("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))), "links")
         discard(edges)
         edges = smaller
-    out = edges.coalesce(1).mapInPandas(union_find, "name long, root long")
+    out = edges.coalesce(1).mapInPandas(tidy(union_find), "name long, root long")
     for step in reversed(steps):
         ends = out.select(F.col("name").alias("root"), F.col("root").alias("far"))
         out = step.join(ends, "root", "left").select("name", F.coalesce("far", "root").alias("root"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +30,24 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def give_back() -> None:
     """Memory that was freed goes back to the system: a worker process lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library keeps it
         return
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches; what it held is freed once it ends, and goes back to the system."""
+
+    def held(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        give_back()
+
+    return held
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int, least_share: float = 0.0) -> DataFrame:
     """(doc_id, text, y): at most ``limit`` labelled rows that ``keep`` admits, by the hash of their id; whole texts.
 
@@ -60,8 +74,6 @@ def trained(rows: DataFrame, facts: str, limit: int, train: Callable[[pd.DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
         yield pd.DataFrame({"model": [train(pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns))]})
-        parts.clear()
-        give_back()
 
-    found = rows.mapInPandas(run, "model binary").first()
+    found = rows.mapInPandas(tidy(run), "model binary").first()
     return bytes(found[0]) if found else train(pd.DataFrame(columns=columns))

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codexa.llm.common import written
-from codexa.llm.learning import bounded_batches, give_back
+from codexa.llm.learning import bounded_batches, tidy
 
 LENGTH, END = 4096, 1
 CACHE_WORDS = 100_000
@@ -119,12 +119,9 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", path: str | None = None, len
                 if str(out["doc_id"].dtype).startswith("float"):  # null ids beside whole numbers
                     out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
-        encode.known.clear()
-        encode.known.atoms.clear()
-        give_back()
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).alias("doc_id"), "text").mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return docs.select(F.col(doc_id).alias("doc_id"), "text").mapInPandas(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
 def best_two_fit(counts: dict[int, int], length: int) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.learning import bounded_batches, fold, give_back, trained, training_rows
+from codexa.llm.learning import bounded_batches, fold, tidy, trained, training_rows
 
 HASHED, DIM, NGRAMS = 1 << 16, 8, (3, 4)
 #: Word bigrams have a vector by their pattern: two times one word, or two words.
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None) -> tuple[np.ndarray, floa
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = training_rows(docs, labels, "quality", keep, SAMPLE_ROWS).mapInPandas(gather, f"doc_id {kind}, y int, facts binary")
+    rows = training_rows(docs, labels, "quality", keep, SAMPLE_ROWS).mapInPandas(tidy(gather), f"doc_id {kind}, y int, facts binary")
     model = np.frombuffer(trained(rows, "facts", SAMPLE_ROWS, learn), dtype=np.float64)
     return model[:-1], float(model[-1])
 
@@ -159,13 +159,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "quali
     """
     weights, bias = model[0].astype(np.float64), model[1]
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(weights, bias)
         for texts in batches:
             yield pd.Series(scorer(texts.fillna("").tolist()), dtype="float64")
-        scorer.known.clear()
-        give_back()
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(scores)(batches)
 
     bounded_batches(docs.sparkSession)
     return docs.withColumn(column, run(F.col("text")))

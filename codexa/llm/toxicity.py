@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.learning import bounded_batches, fold, give_back, trained, training_rows
+from codexa.llm.learning import bounded_batches, fold, tidy, trained, training_rows
 
 #: Bound of the training sample, in rows (whole texts are learned from), and the most of them toxic.
 SAMPLE_ROWS, TOXIC_SHARE = 5000, 0.4
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None) -> dict:
         return json.dumps(model | {"trans": model["trans"].tolist(), "start": model["start"].tolist()}).encode()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = training_rows(docs, labels, "toxic", keep, SAMPLE_ROWS, TOXIC_SHARE).mapInPandas(gather, f"doc_id {kind}, y int, words string")
+    rows = training_rows(docs, labels, "toxic", keep, SAMPLE_ROWS, TOXIC_SHARE).mapInPandas(tidy(gather), f"doc_id {kind}, y int, words string")
     model = json.loads(trained(rows, "words", SAMPLE_ROWS, learn))
     return model | {"trans": np.array(model["trans"]), "start": np.array(model["start"])}
 
@@ -285,16 +285,17 @@ def spans(text: str, p: np.ndarray) -> list[dict]:
 def score(docs: DataFrame, model: dict, column: str = "toxicity") -> DataFrame:
     """``docs`` with ``column``: struct(score, spans). The score is the highest marginal of a word, 0 for null and empty texts."""
 
-    @F.pandas_udf("score double, spans array<struct<start:int,end:int,p:double>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def tagged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(model)
         for batch in batches:
             texts = batch.fillna("").tolist()
             found = [p for at in range(0, len(texts), 100) for p in tagger(texts[at : at + 100])]
             top = [float(p.max()) if len(p) else 0.0 for p in found]
             yield pd.DataFrame({"score": top, "spans": [spans(t, p) if s >= SPAN else [] for t, p, s in zip(texts, found, top, strict=True)]})
-        tagger.clear()
-        give_back()
+
+    @F.pandas_udf("score double, spans array<struct<start:int,end:int,p:double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(tagged)(batches)
 
     bounded_batches(docs.sparkSession)
     return docs.withColumn(column, run(F.col("text")))
