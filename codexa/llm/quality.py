@@ -56,7 +56,7 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
         same = sum(map(eq, words, words[1:]))
         total[SAME], total[OTHER] = same, len(words) - 1 - same
     ids = np.empty(0, np.int64) if total is None else np.flatnonzero(total)
-    return ids.astype(np.int32), np.zeros(0) if total is None else total[ids].astype(np.float64)
+    return ids.astype(np.int32), np.zeros(0, np.int32) if total is None else total[ids].astype(np.int32)
 
 
 def train(xs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -74,7 +74,6 @@ def train(xs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[np.nd
     V, b = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
     epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(xs) // BATCH)))
     steps, done = epochs * -(-len(xs) // BATCH), 0
-    shares = [times / max(times.sum(), 1.0) for _, times in xs]
     for _ in range(epochs):
         order = rng.permutation(len(xs))
         for at in range(0, len(xs), BATCH):
@@ -85,7 +84,7 @@ def train(xs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[np.nd
                 continue
             ids = np.concatenate([xs[i][0] for i in pick])
             sizes = np.array([len(xs[i][0]) for i in pick])
-            share = np.concatenate([shares[i] for i in pick])
+            share = np.concatenate([xs[i][1] / xs[i][1].sum() for i in pick])
             mean = np.add.reduceat(E[:, ids] * share, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=1).T
             z = mean @ V + b
             p = np.exp(z - z.max(1, keepdims=True))
@@ -112,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None) -> tuple[np.ndarray, floa
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "facts": [i.tobytes() + n.tobytes() for i, n in found]})
 
     def learn(rows: pd.DataFrame) -> bytes:
-        xs = [(np.frombuffer(x[: len(x) // 3], dtype=np.int32), np.frombuffer(x[len(x) // 3 :], dtype=np.float64)) for x in map(bytes, rows["facts"])]
+        both = [np.frombuffer(x, dtype=np.int32) for x in rows["facts"]]
+        xs = [(x[: len(x) // 2], x[len(x) // 2 :]) for x in both]
         weights, bias = train(xs, rows["y"].to_numpy(dtype=np.int64))
         return np.append(weights, bias).tobytes()
 
