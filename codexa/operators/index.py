@@ -40,8 +40,16 @@ def prepare(chunks: DataFrame) -> DataFrame:
     )
 
 
-def embed(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "text") -> DataFrame:
-    """With ``embedding`` from a plug-in: ``load()`` runs once in each worker and returns a function from texts to vectors."""
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """(id, n) of ids that more than one row has; an index must have none."""
+    return rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def embed(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "text", model: str = "") -> DataFrame:
+    """With ``embedding`` from a plug-in: ``load()`` runs once in each worker and returns a function from texts to vectors.
+
+    A name given as ``model`` is kept with the rows, for ``check_model``.
+    """
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -52,4 +60,19 @@ def embed(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[fl
                 out += model(texts.iloc[at : at + BATCH].fillna("").tolist())
             yield pd.Series(out, index=texts.index)
 
-    return rows.withColumn("embedding", run(F.col(text)))
+    out = rows.withColumn("embedding", run(F.col(text)))
+    return out.withColumn("model", F.lit(model)) if model else out
+
+
+def embed_queries(queries: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], query_id: str = "query_id", text: str = "text") -> DataFrame:
+    """(query_id, qvec) of (query_id, text) by the plug-in that embedded the index."""
+    asked = queries.select(_col(query_id).alias("query_id"), _col(text).alias("text"))
+    return embed(asked, load).select("query_id", F.col("embedding").alias("qvec"))
+
+
+def check_model(index: DataFrame, model: str) -> None:
+    """Raises where a row of ``index`` was embedded by another model than ``model``; rows without a name count as ''."""
+    name = F.coalesce("model", F.lit("")) if "model" in index.columns else F.lit("")
+    other = index.select(name.alias("model")).where(F.col("model") != model).first()
+    if other:
+        raise ValueError(f"the index was embedded by {other[0]!r}, queries would be by {model!r}")
