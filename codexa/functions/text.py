@@ -71,6 +71,11 @@ def first_integer(c) -> Column:
     return F.regexp_extract(_col(c), r"(?U)\d+", 0)
 
 
+def read_name() -> Column:
+    """The name of the file that a row was read from; Spark gives it with blanks and other characters percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def file_stem(path) -> Column:
     """File name without folder and last suffix."""
     return F.regexp_replace(F.regexp_extract(_col(path), r"([^/]*)$", 1), r"\.[^.]*$", "")

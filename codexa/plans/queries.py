@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from codexa.operators import stats as S
 from codexa.operators import structure as A
 from codexa.operators import vector as V
 from codexa.plans.statute import statutes
+from codexa.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -461,3 +465,48 @@ def _by_query():
     from pyspark.sql import Window as W
 
     return W.partitionBy("query_id")
+
+
+# ---------------------------------------------------------------- files written and read again
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder where spark.checkpoint.dir is, or a local one where a local master has none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT 'doc ' || doc_id AS document, (i - 1)::BIGINT AS chunk_ord, xs[i] AS texto_busqueda, lang AS jerarquia FROM (SELECT doc_id, lang, xs, unnest(range(1, len(xs) + 1)) AS i FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS xs FROM documents))")
+def json_round_trip(spark, d):
+    """Each document's lines as a JSON array in a file of its own, and back."""
+    docs = table(spark, d, "documents").withColumn("document", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    lines = docs.select("document", "lang", F.posexplode(F.split("text", "\n", -1)).alias("chunk_ord", "texto_busqueda"))
+    meta = F.struct(F.col("document").alias("documento"), F.lit(None).cast("string").alias("articulo"), F.col("lang").alias("jerarquia"))
+    folder = _folder(spark)
+    files.write_arrays(lines.withColumn("metadatos", meta), docs, folder, "chunk_ord", ["texto_busqueda", "metadatos"], "_chunks")
+    return files.read_chunks(spark, folder)[0].select("document", "chunk_ord", "texto_busqueda", F.col("metadatos.jerarquia").alias("jerarquia"))
+
+
+@query("SELECT 'doc ' || doc_id AS document, CASE WHEN doc_id % 10 = 0 THEN 'docx' ELSE 'txt' END AS kind, strlen(coalesce(text, ''))::BIGINT AS length, CASE WHEN doc_id % 10 = 0 THEN '' ELSE coalesce(text, '') END AS text, doc_id % 10 = 0 AS failed FROM documents")
+def corrupt_tolerance(spark, d):
+    """Each document as a file, scanned and extracted; every tenth has the suffix of a format that it isn't in, and fails alone."""
+    kind = F.when(F.col("doc_id") % 10 == 0, "docx").otherwise("txt")
+    rows = table(spark, d, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit("."), kind).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    folder = _folder(spark)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pathlib import Path
+
+        at = Path(folder.removeprefix("file://"))
+        at.mkdir(parents=True, exist_ok=True)
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["text"], strict=True):
+                (at / name).write_bytes(text.encode("utf-8"))
+            yield batch[["name"]]
+
+    rows.mapInPandas(put, "name string").count()
+    found = files.scan(spark, folder)
+    read = files.extract(found).select("path", "text", F.col("error").isNotNull().alias("failed"))
+    return found.select("document", "path", "kind", "length").join(read, "path").drop("path")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexa.functions.text import file_stem, short_hash
+from codexa.functions.text import file_stem, read_name, short_hash
 from codexa.operators.chunks import enriched, flatten_articles
 from codexa.operators.structure import structure
 
@@ -13,7 +13,7 @@ from codexa.operators.structure import structure
 def statute_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
     """(document, text, arrived) of text files."""
     rows = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(folder, wholetext=True)
-    return rows.select(file_stem("_metadata.file_name").alias("document"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("arrived"))
+    return rows.select(file_stem(read_name()).alias("document"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("arrived"))
 
 
 def chunk_stream(docs: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -44,6 +44,15 @@ def test_structured_and_chunk_files_come_back(spark, tmp_path):
     assert [r.document for r in bad.collect()] == ["vacía"]
 
 
+def test_names_with_blanks_and_signs(spark, tmp_path):
+    names = ["Ley del agua", "50% + 1", "añ o#1", "a%20b"]
+    for n in names:
+        (tmp_path / f"{n}_chunks.json").write_text('[{"texto_busqueda": "x"}]')
+        (tmp_path / f"{n}.txt").write_text("Artículo 1. x")
+    assert {r.document for r in files.read_chunks(spark, str(tmp_path))[0].collect()} == set(names)
+    assert {r.document for r in files.scan(spark, str(tmp_path)).collect()} == set(names)
+
+
 def test_good_docx_is_read(spark, tmp_path):
     ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     body = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in ("Artículo 1. Uno", " ", "dos"))

@@ -5,7 +5,7 @@ import pytest
 from codexa.plans.queries import ORACLE, QUERIES
 from compare import difference
 
-NAMES = ["normalize_text", "tokenize_counts", "bm25_topn_padded", "dedup_first", "gazette_clean_body", "fractions", "chunk_ids", "parse_query_filters", "hybrid_search", "hybrid_filtered", "rrf_fusion"]
+NAMES = ["normalize_text", "tokenize_counts", "bm25_topn_padded", "dedup_first", "gazette_clean_body", "fractions", "chunk_ids", "parse_query_filters", "hybrid_search", "hybrid_filtered", "rrf_fusion", "json_round_trip", "corrupt_tolerance"]
 
 
 @pytest.mark.parametrize("name", NAMES)
