@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from struct import pack as pack_ids
 
 import numpy as np
@@ -21,14 +21,17 @@ LENGTH, END = 4096, 1
 CACHE_WORDS = 100_000
 #: Letters beyond ASCII that stand as they are in NFC and have one lower case, a letter of the same kind (no İ).
 LETTERS = "À-ÖØ-öø-įı-ſА-яЁё"
-#: Words that are put together from atoms, and how the tokenizer splits them once lower-cased (its own pattern, fixed).
-PLAIN = re.compile(rf"[!-~{LETTERS}]*")
-ATOM = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^a-z0-9{LETTERS}]+")
+#: What no PLAIN text holds, which is made of such letters, printable ASCII and what separates words.
+ODD = re.compile(rf"[^ \n\t!-~{LETTERS}]")
+#: The atoms of a lower-cased PLAIN text, as the tokenizer splits it (its own pattern, fixed), but for runs of letters: those lie between.
+MARK = re.compile(r"[!-@\[-`{-~](?:(?<=[0-9])|(?<=')(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]*)")
 
 #: The pattern, as a tokenizer that splits so states it; others get whole words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Byte-level models name bytes by characters: those that print by themselves, others by characters from 256 on (the alphabet of such models, fixed).
 BYTES = {b: b + 162 for b in range(127, 161)} | {173: 323}
+#: The names of the bytes of each character that PLAIN texts may hold.
+NAMED = {c: c.encode().decode("latin-1").translate(BYTES) for c in map(chr, range(ord("ё") + 1))}
 
 
 def default_tokenizer() -> str:
@@ -38,43 +41,74 @@ def default_tokenizer() -> str:
 
 
 class Atoms(dict):
-    """Ids of the atoms of PLAIN words, as little-endian bytes, found by the tokenizer's model alone when first asked for."""
+    """Ids of the atoms of PLAIN texts, as little-endian bytes, found by the tokenizer's model alone when first asked for.
 
-    def __init__(self, tokenizer):
+    Once there are CACHE_WORDS of them the next generation begins: it takes over what is asked for again, the rest is forgotten with
+    the generation after it. So frequent atoms stay.
+    """
+
+    def __init__(self, model, old: dict[str, bytes]):
         super().__init__()
-        self.model = tokenizer.model
+        self.model, self.old = model, old
 
     def __missing__(self, atom: str) -> bytes:
-        found = self.model.tokenize(atom if atom.isascii() else atom.encode().decode("latin-1").translate(BYTES))
-        ids = pack_ids(f"<{len(found)}I", *[t.id for t in found])
+        ids = self.old.get(atom)
+        if ids is None:
+            found = [t.id for t in self.model.tokenize(atom if atom.isascii() else "".join(map(NAMED.__getitem__, atom)))]
+            ids = pack_ids(f"<{len(found)}I", *found)
         if len(atom) <= 32:
             self[atom] = ids
         return ids
 
+    def next(self) -> Atoms:
+        self.old = {}
+        return Atoms(self.model, self)
+
 
 class Words(dict):
-    """Ids of what stands between blanks. PLAIN ones are put together from their atoms, all others go to the tokenizer."""
+    """Ids of what stands between blanks and goes to the tokenizer; what is PLAIN is put together from its atoms."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.atoms, self.tokenizer = Atoms(tokenizer), tokenizer
+        self.atoms, self.tokenizer = Atoms(tokenizer.model, {}), tokenizer
         self.split = SPLIT in str(tokenizer.pre_tokenizer).replace("\\\\", "\\") and "Lowercase" in str(tokenizer.normalizer)
 
     def __missing__(self, word: str) -> bytes:
-        if self.split and PLAIN.fullmatch(word):
-            ids = b"".join(map(self.atoms.__getitem__, ATOM.findall(word.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self[word] = ids
+        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(word) <= 64:
+            self[word] = ids
         return ids
 
+    def plain(self, text: str) -> Iterator[bytes]:
+        return map(self.atoms.__getitem__, MARK.sub(r" \g<0> ", text.lower()).split())
+
+    def parts(self, text: str) -> Iterable[bytes]:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if len(self.atoms) > CACHE_WORDS:
+            self.atoms = self.atoms.next()
+        if not self.split:
+            return map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" "))
+        odd, at, out = ODD.search(text), 0, []
+        if not odd:
+            return self.plain(text)
+        text = text.replace("\n", " ").replace("\t", " ")
+        while odd:
+            first, last = max(text.rfind(" ", at, odd.start()) + 1, at), text.find(" ", odd.end())
+            last = len(text) if last < 0 else last
+            out += self.plain(text[at:first])
+            out.append(self[text[first:last]])
+            odd, at = ODD.search(text, last), last
+        out += self.plain(text[at:])
+        return out
+
 
 class Encoder:
     """Token ids of a text as little-endian bytes.
 
     The tokenizer never joins what a blank, tab or line end separates, and lower-cases and splits
-    PLAIN words as ATOM does, so ids are looked up by word and atom. Tokens that were added to the vocabulary stand
-    before all that, anywhere in a text: a text that holds one goes to the tokenizer whole.
+    PLAIN words as MARK does, so ids are looked up by atom, and by word where one is not PLAIN. Tokens that were added to the
+    vocabulary stand before all that, anywhere in a text: a text that holds one goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -90,13 +124,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if len(known.atoms) > CACHE_WORDS:
-            known.atoms.clear()
-        held = [self.added is not None and self.added.search(t) is not None for t in texts]
-        return [self.whole(t) if h else b"".join(map(known.__getitem__, t.replace("\n", " ").replace("\t", " ").split(" "))) for t, h in zip(texts, held, strict=True)]
+        return [self.whole(t) if self.added is not None and self.added.search(t) else b"".join(self.known.parts(t)) for t in texts]
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", path: str | None = None, length: int = LENGTH, end: int = END, keep_ids: bool = False) -> DataFrame:
