@@ -35,3 +35,13 @@ NAMES = ["statute_headings", "fractions", "direct_items", "article_references",
 @pytest.mark.parametrize("name", NAMES)
 def test_lines_have_the_role_of_their_place(spark, odd, name):
     assert difference(spark, name, QUERIES[name], ORACLE[name], odd) is None
+
+
+def test_files_without_bytes_are_documents(spark, odd, tmp_path):
+    from codexa.sources import files
+
+    assert difference(spark, "corrupt_tolerance", QUERIES["corrupt_tolerance"], ORACLE["corrupt_tolerance"], odd) is None
+    for name in ("leér 100% a+b %20.txt", "x.pdf", "y.json"):
+        (tmp_path / name).write_text("")
+    rows = files.scan(spark, str(tmp_path)).orderBy("document").collect()
+    assert [(r.document, r.kind, r.length, bytes(r.content)) for r in rows] == [("leér 100% a+b %20", "txt", 0, b""), ("x", "pdf", 0, b"")]
