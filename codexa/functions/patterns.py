@@ -11,11 +11,16 @@ ORDINALS = r"PRIMERO|SEGUNDO|TERCERO|CUARTO|QUINTO|SEXTO|SÉPTIMO|OCTAVO|NOVENO|
 HEADING_WORDS = r"LIBRO|TÍTULO|TITULO|CAPÍTULO|CAPITULO|SECCIÓN|SECCION"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
-ARTICLE = rf"(?msdU)^\s*({HEADER}(?:[oOaA]|\.)?(?:[\s.\-]*(?:{LATIN}))?[.\-]*)\s*(.*?)(?=(?:^\s*{HEADER})|\z)"
+TITLE = rf"{HEADER}(?:[oOaA]|\.)?(?:[\s.\-]*(?:{LATIN}))?[.\-]*"
+ARTICLE = rf"(?msdU)^\s*({TITLE})\s*(.*?)(?=(?:^\s*{HEADER})|\z)"
 FRACTION = rf"(?msdU)^\s*({ROMAN})[.\-]\s+(.*?)(?=(?:^\s*{ROMAN}[.\-])|\z)"
 FRACTION_MARK = rf"(?mdU)^\s*{ROMAN}[.\-]\s+"
 ITEM = r"(?msdU)^\s*([a-z])\)(.*?)(?=(?:^\s*[a-z]\))|\z)"
 ITEM_MARK = r"(?mdU)^\s*[a-z]\)"
+#: The groups of the three, from the text of one match.
+ARTICLE_PARTS = rf"(?sdU)\A\s*({TITLE})\s*(.*)\z"
+FRACTION_PARTS = rf"(?sdU)\A\s*({ROMAN})[.\-]\s+(.*)\z"
+ITEM_PARTS = r"(?sdU)\A\s*([a-z])\)(.*)\z"
 GAZETTE = r"(?imduU)^\s*(?:Párrafo|Artículo|Fracción|Inciso)?\s*(?:reformado|adicionado|derogado)\s+DOF[\s\d\-,.]*"
 REFERENCE = rf"(?iduU)\b(?:art[íi]culo|art\.)\s*(\d+\s*(?:[oOaA°]\.?)?(?:\s*(?:{LATIN}))?)"
 #: ``compat`` reads a numeral only where it is Roman, else as empty; ``extended`` reads digits and ordinals too.

@@ -9,29 +9,46 @@ from codexa.functions import patterns as P
 from codexa.functions.text import _col, capitalize, first_integer, normalize, strip, unaccent_heading
 
 
-def _groups(text: Column, pattern: str, *names: str) -> Column:
-    """ARRAY<STRUCT> with one field for each of the pattern's groups 1, 2, ..."""
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(len(names))]
-    return F.arrays_zip(*[f.alias(n) for f, n in zip(found, names, strict=True)])
+def _matches(text: Column, pattern: str) -> Column:
+    """The texts of all matches: a pattern goes over a text once, its groups are read from the matches."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def match_starts(text: Column, pattern: str) -> Column:
-    """Character offsets of all matches: lengths of what stands between matches and of the matches, summed up."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    total = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), hits.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda s, x: F.struct((s.at + x.gap + F.coalesce(x.hit, F.lit(0))).alias("at"), F.concat(s.starts, F.array(s.at + x.gap)).alias("starts")),
-    )
-    return F.slice(total.starts, F.lit(1), F.size(hits))
+def _groups(text: Column, pattern: str, parts: str, *names: str) -> Column:
+    """ARRAY<STRUCT> with one field for each of the groups 1, 2, ... of ``parts`` in a match of ``pattern``."""
+    return F.transform(_matches(text, pattern), lambda m: F.struct(*[F.regexp_extract(m, parts, i + 1).alias(n) for i, n in enumerate(names)]))
 
 
 def headings(text: Column, mode: str = "compat") -> Column:
-    """ARRAY<STRUCT<pos, label>> of book, title, chapter and section lines in text order."""
+    """ARRAY<STRUCT<pos, label>> of book, title, chapter and section lines in text order.
+
+    Positions are the lengths of what stands between matches and of the matches, summed up.
+    """
     pattern = P.HEADING[mode]
-    labels = F.transform(_groups(text, pattern, "word", "num"), lambda h: F.concat(unaccent_heading(capitalize(h.word)), F.lit(" "), strip(h.num)))
-    return F.arrays_zip(match_starts(text, pattern).alias("pos"), labels.alias("label"))
+    label = lambda m: F.concat(unaccent_heading(capitalize(F.regexp_extract(m, pattern, 1))), F.lit(" "), strip(F.regexp_extract(m, pattern, 2)))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    return F.aggregate(
+        F.arrays_zip(gaps.alias("gap"), _matches(text, pattern).alias("hit")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,label:string>>").alias("found")),
+        lambda s, x: F.struct(
+            (s.at + x.gap + F.coalesce(F.length(x.hit), F.lit(0))).alias("at"),
+            F.when(x.hit.isNull(), s.found).otherwise(F.concat(s.found, F.array(F.struct((s.at + x.gap).alias("pos"), label(x.hit).alias("label"))))).alias("found"),
+        ),
+        lambda s: s.found,
+    )
+
+
+def _articles(text: Column) -> Column:
+    """ARRAY<STRUCT<pos, title, body>>. A match ends where the next one begins or the text ends, so positions follow from lengths."""
+    return F.aggregate(
+        _matches(text, P.ARTICLE),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,title:string,body:string>>").alias("found")),
+        lambda s, m: F.struct(
+            (s.at + F.length(m)).alias("at"),
+            F.concat(s.found, F.array(F.struct(s.at.alias("pos"), F.regexp_extract(m, P.ARTICLE_PARTS, 1).alias("title"), F.regexp_extract(m, P.ARTICLE_PARTS, 2).alias("body")))).alias("found"),
+        ),
+        lambda s: F.transform(s.found, lambda a: F.struct((a.pos + F.length(text) - s.at).alias("pos"), a.title.alias("title"), a.body.alias("body"))),
+    )
 
 
 def gazette_notes(text: Column) -> Column:
@@ -44,7 +61,7 @@ def without_notes(text: Column) -> Column:
 
 def items(text: Column) -> Column:
     """ARRAY<STRUCT<inciso, texto_general>> of lettered items."""
-    return F.transform(_groups(text, P.ITEM, "a", "b"), lambda m: F.struct(m.a.alias("inciso"), normalize(m.b).alias("texto_general")))
+    return F.transform(_groups(text, P.ITEM, P.ITEM_PARTS, "a", "b"), lambda m: F.struct(m.a.alias("inciso"), normalize(m.b).alias("texto_general")))
 
 
 def before(text: Column, mark: str) -> Column:
@@ -54,8 +71,9 @@ def before(text: Column, mark: str) -> Column:
 
 def fractions(text: Column) -> Column:
     """ARRAY<STRUCT<fraccion, texto_general, incisos>>; matches with an empty numeral are dropped."""
-    numbered = F.filter(_groups(text, P.FRACTION, "num", "body"), lambda m: m.num != "")
-    return F.transform(numbered, lambda m: F.struct(m.num.alias("fraccion"), normalize(before(strip(m.body), P.ITEM_MARK)).alias("texto_general"), items(strip(m.body)).alias("incisos")))
+    numbered = F.filter(_groups(text, P.FRACTION, P.FRACTION_PARTS, "num", "body"), lambda m: m.num != "")
+    stripped = F.transform(numbered, lambda m: F.struct(m.num.alias("num"), strip(m.body).alias("body")))
+    return F.transform(stripped, lambda m: F.struct(m.num.alias("fraccion"), normalize(before(m.body, P.ITEM_MARK)).alias("texto_general"), items(m.body).alias("incisos")))
 
 
 def references(text: Column) -> Column:
@@ -80,9 +98,9 @@ def split_articles(docs: DataFrame, document="document", text="text", mode: str
     Blank and null texts give no rows; text before the first header is dropped.
     """
     body = docs.select(_col(document).alias("document"), _col(text).alias("text")).where(strip(F.coalesce("text", F.lit(""))) != "")
-    body = body.withColumns({"found": headings(F.col("text"), mode), "arts": F.arrays_zip(match_starts(F.col("text"), P.ARTICLE).alias("pos"), _groups(F.col("text"), P.ARTICLE, "title", "body").alias("m"))})
+    body = body.withColumns({"found": headings(F.col("text"), mode), "arts": _articles(F.col("text"))})
     rows = body.select("document", "found", F.posexplode("arts").alias("art_ord", "art"))
-    return rows.select("document", "art_ord", F.col("art.pos").alias("pos"), normalize("art.m.title").alias("articulo"), strip("art.m.body").alias("cuerpo"), heading_at(F.col("art.pos"), F.col("found")).alias("jerarquia"))
+    return rows.select("document", "art_ord", F.col("art.pos").alias("pos"), normalize("art.title").alias("articulo"), strip("art.body").alias("cuerpo"), heading_at(F.col("art.pos"), F.col("found")).alias("jerarquia"))
 
 
 def structure(docs: DataFrame, document="document", text="text", mode: str = "compat") -> DataFrame:

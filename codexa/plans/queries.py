@@ -314,7 +314,7 @@ def mini_batches(spark, d):
 
 @query(f"WITH {FLAT}, per AS (SELECT document, count(*) AS chunks FROM chunk GROUP BY 1), k AS (SELECT document, count(*) AS kept FROM kept GROUP BY 1) SELECT document, sum(chunks)::BIGINT AS chunks, sum(chunks - kept)::BIGINT AS duplicates, sum(kept)::BIGINT AS indexed FROM per JOIN k USING (document) GROUP BY ROLLUP (document)")
 def run_totals(spark, d):
-    return S.run_totals(C.chunks(_articles(spark, d)), _kept(spark, d))
+    return S.run_totals_of(C.chunks(_articles(spark, d)))
 
 
 @query(f"WITH {FLAT} SELECT row_number() OVER (ORDER BY value) AS ord, value FROM (SELECT DISTINCT documento AS value FROM idx)")

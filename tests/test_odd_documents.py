@@ -45,3 +45,24 @@ def test_files_without_bytes_are_documents(spark, odd, tmp_path):
         (tmp_path / name).write_text("")
     rows = files.scan(spark, str(tmp_path)).orderBy("document").collect()
     assert [(r.document, r.kind, r.length, bytes(r.content)) for r in rows] == [("leér 100% a+b %20", "txt", 0, b""), ("x", "pdf", 0, b"")]
+
+
+def test_each_pattern_goes_over_a_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from codexa.operators import structure as A
+
+    text = "x\nTÍTULO I\n\n  Artículo 1.\n  Artículo 2. a\nArtículo 3 Bis.- b\n\nCAPÍTULO II z\nArtículo 4. c\n"
+    docs = spark.createDataFrame([("d", text)], "document string, text string")
+    rows = A.split_articles(docs).orderBy("art_ord").collect()
+    assert [(text[r.pos :].lstrip()[:10], r.articulo, r.cuerpo, r.jerarquia) for r in rows] == [("Artículo 1", "Artículo 1.", "Artículo 2. a", "Titulo I"), ("Artículo 3", "Artículo 3 Bis.-", "b\n\nCAPÍTULO II z", "Titulo I"), ("Artículo 4", "Artículo 4.", "c", "Capitulo II")]
+    plan = docs.select(A.headings(F.col("text")).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("split(") == 1
+
+
+def test_totals_are_counted_in_one_pass(spark):
+    from codexa.operators import stats as S
+
+    chunks = spark.createDataFrame([("d", 0, "a"), ("d", 1, "a"), ("d", 2, "b"), ("e", 0, "a"), ("e", 1, None)], "document string, chunk_ord long, texto_busqueda string")
+    assert {r.document: (r.chunks, r.duplicates, r.indexed) for r in S.run_totals_of(chunks).collect()} == {"d": (3, 1, 2), "e": (2, 0, 2), None: (5, 1, 4)}
+    assert "Window" not in S.run_totals_of(chunks)._jdf.queryExecution().optimizedPlan().toString()
